@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, pii, quality_rules, secret_scan, token_counts, url_filter
+from . import html_text, mixing, near_dups, pii, quality_rules, secret_scan, token_counts, url_filter
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op5_pii, op6_urls, op7_tokens, op8_html, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op4_near_dups, op5_pii, op6_urls, op7_tokens, op8_html, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
