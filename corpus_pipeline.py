@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlark.llm import mixing, quality_rules, secret_scan
+from meshlark.llm import decontamination, mixing, near_dups, quality_rules, secret_scan
 from meshlark.llm.shared import table, written
 
 
@@ -19,6 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -27,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.taken(docs)
 
 
-STAGES = [("quality rules", quality), ("secret scans", secrets), ("mixing", mix)]
+STAGES = [("quality rules", quality), ("near-duplicates", near_copies), ("decontamination", decontaminated), ("secret scans", secrets), ("mixing", mix)]
 
 #: Boosted signatures and seeded hashes are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import arrow_map, blocks, small_side, utf8, windows, words, written
+from .shared import _LEAD, arrow_map, blocks, small_side, utf8, windows, words, written
 
 #: The relative width of a bucket of the sketches.
 GAMMA = 1.05
@@ -44,8 +44,6 @@ def _class(chars: bytes) -> np.ndarray:
 
 _SYMBOL, _SHOUT = _class(b"#*$%&|<>"), _class(b"!")
 _CAPITAL, _LETTER = _class(bytes(range(65, 91))), _class(bytes([*range(65, 91), *range(97, 123)]))
-_LEAD = np.ones(256, bool)
-_LEAD[0x80:0xC0] = False  # the bytes that don't start a code point
 
 
 def _per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, near_dups, pii, quality_rules, secret_scan, token_counts, url_filter
+from . import decontamination, html_text, mixing, near_dups, pii, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 from .shared import table
 
 
@@ -14,6 +14,14 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op4_near_dups, op5_pii, op6_urls, op7_tokens, op8_html, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_mix, op2_substrings, op3_leaks, op4_near_dups, op5_pii, op6_urls, op7_tokens, op8_html, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
