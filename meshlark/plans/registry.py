@@ -1,19 +1,369 @@
-"""The registered queries of the engine and their DuckDB SQL."""
+"""The registered queries of the engine, and the same in DuckDB SQL.
+
+The driver's tables hold no weather fields, so each operator runs on fields that
+are derived from them: cells from events, points and headers from orders, packed
+numbers from lineitem, tiles from nation, meshes from customer and supplier.
+Results of trigonometry are rounded to 6 decimals on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..functions import headers as h
+from ..operators import catalog, meshes, sampling, tiles, unpacking
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: The derived relations, in SQL that both engines read.
+CELLS = "SELECT event_id AS off, CAST(event_id % 40 AS INT) AS i, CAST(floor(event_id / 40) AS INT) AS j, CASE WHEN event_id % 97 = 13 THEN NULL ELSE value END AS value FROM events"
+POINTS = "SELECT o_orderkey AS id, 60 - (o_orderkey % 1000) * 5e-3 AS lat, 5 + (o_custkey % 400) * 5e-3 AS lon, (5 + (o_custkey % 400) * 5e-3 - 5) / 5e-2 AS fx, (60 - (60 - (o_orderkey % 1000) * 5e-3)) / 2e-2 AS fy FROM orders"
+GLOBE = "SELECT o_orderkey AS id, 90 - ((o_orderkey * 7919) % 18001) / 1e2 AS lat, ((o_custkey * 104729) % 36000) / 1e2 - 180 AS lon FROM orders"
+TILES = "SELECT n_nationkey AS id, 5 AS z, 10 + n_nationkey % 8 AS x, 8 + CAST(floor(n_nationkey / 8) AS INT) AS y, 16 AS w, 16 AS h FROM nation"
+PACKED = "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, CAST(l_quantity AS INT) AS x FROM lineitem"
+MESH = "SELECT 'm' AS uuid, c_custkey AS cell, degrees(asin(2 * (((c_custkey * 7919) % 10007) / 10007e0) - 1)) AS lat, ((c_custkey * 104729) % 36000) / 1e2 - 180 AS lon, c_custkey % 11 = 3 AS masked FROM customer"
+SITES = "SELECT s_suppkey AS id, degrees(asin(2 * (((s_suppkey * 6007) % 9973) / 9973e0) - 1)) AS lat, ((s_suppkey * 7213) % 36000) / 1e2 - 180 AS lon FROM supplier"
+
+
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """text over the driver's tables, each read as it is named; only those that are named are opened."""
+    import re
+
+    names = "region nation customer supplier part orders lineitem events".split()
+    found = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names if re.search(rf"\b{n}\b", text)}
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", text), **found)
+
+
+def query(name: str, sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def both(name: str, base: str, columns: dict[str, str], rounded: bool = False, duck: dict[str, str] | None = None) -> None:
+    """A query of expressions over a base relation; duck: what DuckDB spells otherwise."""
+    text = {k: f"round({v}, 6) + 0e0" if rounded and k not in ("id", "off") else v for k, v in columns.items()}
+    other = {k: f"round({v}, 6) + 0e0" if rounded and k not in ("id", "off") else v for k, v in (columns | (duck or {})).items()}
+    _QUERIES[name] = lambda spark, d: _sql(spark, d, base).select(*(F.expr(v).alias(k) for k, v in text.items()))
+    _SQL[name] = f"SELECT {', '.join(f'{v} AS {k}' for k, v in other.items())} FROM ({base}) AS base"
+
+
+def _pair(names: tuple[str, ...], values: tuple[str, ...]) -> dict[str, str]:
+    return dict(zip(names, values, strict=True))
+
+
+# --- sampling
+
+
+@query("gather_nearest", f"SELECT p.id, c.value FROM ({POINTS}) p LEFT JOIN ({CELLS}) c ON c.i = CAST(floor(p.fx + 0.5) AS INT) AND c.j = CAST(floor(p.fy + 0.5) AS INT)")
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.nearest(_sql(spark, d, POINTS), _sql(spark, d, CELLS)).select("id", "value")
+
+
+_W = "CASE WHEN abs({0}) < 1 THEN ((1.5e0 * abs({0}) - 2.5e0) * abs({0})) * abs({0}) + 1 WHEN abs({0}) < 2 THEN ((-5e-1 * abs({0}) + 2.5e0) * abs({0}) - 4) * abs({0}) + 2 ELSE 0e0 END"
+
+
+def _bicubic_sql(points: str, cells: str) -> str:
+    wx = [f"({_W.format(f'({t})')})" for t in ("1 + dx", "dx", "1 - dx", "2 - dx")]
+    wy = [f"({_W.format(f'({t})')})" for t in ("1 + dy", "dy", "1 - dy", "2 - dy")]
+    w = [f"({x} * {y})" for y in wy for x in wx]
+    total, top = " + ".join(w), " + ".join(f"v{k} * {w[k]}" for k in range(16))
+    taps = ", ".join(f"max(CASE WHEN t = {k} THEN value END) AS v{k}" for k in range(16))
+    return (
+        f"WITH pts AS ({points}), cel AS ({cells}), tap AS (SELECT id, fx, fy, t, CAST(floor(fx) AS INT) - 1 + t % 4 AS ti, CAST(floor(fy) AS INT) - 1 + CAST(floor(t / 4) AS INT) AS tj FROM pts, range(16) AS r(t)), "
+        f"g AS (SELECT id, fx, fy, {taps} FROM tap LEFT JOIN cel ON i = ti AND j = tj GROUP BY id, fx, fy), n AS (SELECT pts.id, c.value AS near FROM pts LEFT JOIN cel c ON c.i = CAST(floor(fx + 0.5) AS INT) AND c.j = CAST(floor(fy + 0.5) AS INT)), "
+        f"m AS (SELECT g.*, n.near, fx - floor(fx) AS dx, fy - floor(fy) AS dy FROM g JOIN n USING (id)) SELECT id, CASE WHEN {' OR '.join(f'v{k} IS NULL' for k in range(16))} OR ({total}) = 0 THEN near ELSE ({top}) / ({total}) END AS value FROM m"
+    )
+
+
+@query("bicubic", _bicubic_sql(POINTS, CELLS))
+def _bicubic(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.bicubic(_sql(spark, d, POINTS), _sql(spark, d, CELLS), "id")
+
+
+_CLASSES = f"SELECT i, j, floor(value / 50) AS value FROM ({CELLS}) AS c"
+
+
+@query(
+    "mode_filter",
+    f"WITH tap AS (SELECT id, CAST(floor(fx + 0.5) AS INT) - 1 + t % 3 AS ti, CAST(floor(fy + 0.5) AS INT) - 1 + CAST(floor(t / 3) AS INT) AS tj FROM ({POINTS}) p, range(9) AS r(t)), "
+    f"n AS (SELECT id, value, count(*) AS n FROM tap LEFT JOIN ({_CLASSES}) c ON i = ti AND j = tj GROUP BY id, value), k AS (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY value IS NULL, n DESC, value) AS k FROM n) SELECT id, value FROM k WHERE k = 1",
+)
+def _mode(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.mode(_sql(spark, d, POINTS), _sql(spark, d, _CLASSES).withColumn("value", F.col("value").cast("double")), "id")
+
+
+both("cubic_weight", "SELECT event_id AS id, (event_id % 500) / 1e2 - 25e-1 AS t FROM events", {"id": "id", "weight": g.cubic_weight("t")})
+
+
+# --- tiles, boxes, single points
+
+both("tile_bounds", TILES, {"id": "id"} | _pair(("south", "west", "north", "east"), g.tile_bounds("z", "x", "y")), rounded=True)
+_LAT = g.mercator_lat("(y + (py + 5e-1) / h) / pow(2e0, z)")
+_TILE_SQL = f"SELECT id, py, px, round({_LAT}, 6) AS lat, round(x / pow(2e0, z) * 360 - 180 + (360 / pow(2e0, z)) * (px + 5e-1) / w, 6) AS lon FROM ({TILES}) t, range(16) AS a(py), range(16) AS b(px)"
+
+
+@query("tile_build", _TILE_SQL)
+def _tile_build(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.tile_pixels(_sql(spark, d, TILES)).selectExpr("id", "CAST(py AS BIGINT) AS py", "CAST(px AS BIGINT) AS px", "round(lat, 6) AS lat", "round(lon, 6) AS lon")
+
+
+@query("tile_pixel", f"SELECT id, py, px, round(n + (s - n) * (py + 5e-1) / h, 6) AS lat FROM (SELECT *, {g.mercator_lat('y / pow(2e0, z)')} AS n, {g.mercator_lat('(y + 1) / pow(2e0, z)')} AS s FROM ({TILES}) t) u, range(16) AS a(py), range(16) AS b(px)")
+def _tile_pixel(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.tile_pixel_linear(_sql(spark, d, TILES)).selectExpr("id", "CAST(py AS BIGINT) AS py", "CAST(px AS BIGINT) AS px", "round(lat, 6) AS lat")
+
+
+_REGIONS = "SELECT n_nationkey AS id, 58e0 - n_nationkey / 1e1 AS south, 5e0 + n_nationkey / 1e1 AS west, 595e-1 - n_nationkey / 1e1 AS north, 65e-1 + n_nationkey / 1e1 AS east, CASE WHEN n_nationkey = 0 THEN 0 ELSE 12 END AS w, 10 AS h FROM nation"
+_REGION_POINTS = f"SELECT id, py, px, west + (east - west) * (px + 5e-1) / ww AS lon, north + (south - north) * (py + 5e-1) / h AS lat FROM (SELECT *, CASE WHEN w <= 0 THEN 256 ELSE w END AS ww FROM ({_REGIONS}) r) q, range(10) AS a(py), range(256) AS b(px) WHERE px < ww"
+
+
+@query("region_render", f"SELECT p.id, p.py, p.px, c.value FROM ({_REGION_POINTS}) p LEFT JOIN ({CELLS}) c ON c.i = CAST(floor((lon - 5) / 5e-2 + 0.5) AS INT) AND c.j = CAST(floor((60 - lat) / 2e-2 + 0.5) AS INT)")
+def _region(spark: SparkSession, d: str) -> DataFrame:
+    px = tiles.region_pixels(_sql(spark, d, _REGIONS)).withColumn("fx", F.expr("(lon - 5) / 5e-2")).withColumn("fy", F.expr("(60 - lat) / 2e-2"))
+    return sampling.nearest(px, _sql(spark, d, CELLS)).selectExpr("id", "CAST(py AS BIGINT) AS py", "CAST(px AS BIGINT) AS px", "value")
+
+
+_AT = g.locate_latlon("lat", "lon", "60e0", "5e0", "60e0 - 2e-2 * 99", "5e0 + 5e-2 * 39", "5e-2", "2e-2", "40", "100")
+
+
+@query("value_at", f"SELECT p.id, fi IS NOT NULL AS in_grid, c.value FROM (SELECT id, {_AT[0]} AS fi, {_AT[1]} AS fj FROM ({POINTS}) q) p LEFT JOIN ({CELLS}) c ON c.i = CAST(floor(fi + 0.5) AS INT) AND c.j = CAST(floor(fj + 0.5) AS INT)")
+def _value_at(spark: SparkSession, d: str) -> DataFrame:
+    placed = _sql(spark, d, POINTS).select("id", F.expr(_AT[0]).alias("fx"), F.expr(_AT[1]).alias("fy"))
+    return sampling.nearest(placed, _sql(spark, d, CELLS)).select("id", F.col("fx").isNotNull().alias("in_grid"), "value")
+
+
+_STATS = f"SELECT CAST(floor(j / 10) AS INT) AS band, value FROM ({CELLS}) AS c"
+
+
+@query("tile_stats", f"SELECT band, count(value) AS n, min(value) AS least, max(value) AS greatest, CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) / count(value) AS mean FROM ({_STATS}) s GROUP BY band")
+def _stats(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.statistics(_sql(spark, d, _STATS), ["band"])
+
+
+for _kind in g.INTEGERS:
+    both(f"quantize_{_kind}", CELLS, {"off": "off", "q": g.quantized("value", _kind, 1e1 if "8" in _kind or "16" in _kind else 1e17, 100.0, -1)})
+both("render_float32", CELLS, {"off": "off", "value": "CAST(value AS FLOAT)"})
+
+
+# --- storage order
+
+_SCANNED = "SELECT event_id AS id, CAST(event_id % 40 AS INT) - 1 AS i, CAST(floor(event_id / 40) % 27 AS INT) - 1 AS j, CAST(floor(event_id / 1080) % 16 AS INT) * 16 AS scan FROM events"
+both("scan_index", _SCANNED, {"id": "id", "off": g.storage_offset("i", "j", "38", "25", "scan")})
+both("natural_order", "SELECT event_id AS id, CAST(event_id % 950 AS INT) AS off, CAST(floor(event_id / 950) % 16 AS INT) * 16 AS scan FROM events", {"id": "id"} | _pair(("i", "j"), g.natural_ij("off", "38", "25", "scan")))
+both("scan_flags", _SCANNED, {"id": "id", "east": "(scan & 128) = 0", "north": "(scan & 64) <> 0", "by_column": "(scan & 32) <> 0", "turning": "(scan & 16) <> 0"})
+
+_PL = "SELECT n_nationkey AS j, 20 + 4 * (CASE WHEN n_nationkey < 13 THEN n_nationkey ELSE 24 - n_nationkey END) AS width FROM nation"
+
+
+@query("pl_prefix_sum", f"SELECT j, width, CAST(sum(width) OVER (ORDER BY j) - width AS BIGINT) AS first FROM ({_PL}) p")
+def _prefix(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.gaussian import row_offsets
+
+    return row_offsets(_sql(spark, d, _PL).withColumn("grid", F.lit(0)), ["grid"]).select("j", "width", "first")
+
+
+_GAUSS = f"WITH rows AS (SELECT j, width, first, lat, lead(lat) OVER (ORDER BY j) AS next FROM (SELECT j, width, CAST(sum(width) OVER (ORDER BY j) - width AS BIGINT) AS first, 72e0 - 6 * j AS lat FROM ({_PL}) p) q), spot AS (SELECT id, lon, j + (lat - plat) / (lat - next) AS fj FROM (SELECT id, lon, lat AS plat FROM ({GLOBE}) g) s JOIN rows ON plat <= lat AND (plat > next OR j = 23 AND plat >= next)) "
+_GAUSS += "SELECT spot.id, round(fj, 6) AS fj, round((lon - 360 * floor(lon / 360)) / (360e0 / width), 6) AS fi, CAST(r.first + (CAST(floor((lon - 360 * floor(lon / 360)) / (360e0 / width) + 0.5) AS INT) % width) AS BIGINT) AS off FROM spot JOIN rows r ON r.j = CAST(floor(fj + 0.5) AS INT)"
+
+
+@query("gaussian_locate", _GAUSS)
+def _gaussian(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.gaussian import locate, row_offsets
+
+    rows = row_offsets(_sql(spark, d, _PL).withColumn("grid", F.lit(0)), ["grid"]).selectExpr("j", "width", "first", "72e0 - 6 * j AS lat")
+    return locate(_sql(spark, d, GLOBE), rows, "id").selectExpr("id", "round(fj, 6) AS fj", "round(fi, 6) AS fi", "off").where("fj IS NOT NULL")
+
+
+# --- geometry
+
+both("wrap_lon", GLOBE, {"id": "id", "around": g.wrap360("lon * 3", "-20"), "centred": g.wrap180("lon * 3")})
+both("latlon_bounds", "SELECT o_orderkey AS id, o_orderkey % 90 * 1e0 AS la1, o_custkey % 90 * 1e0 AS la2, o_orderkey % 360 * 1e0 AS lo1, o_custkey % 360 * 1e0 AS lo2, CAST(o_orderkey % 2 AS INT) * 128 AS scan FROM orders", {"id": "id"} | _pair(("south", "west", "north", "east"), g.latlon_bounds("la1", "lo1", "la2", "lo2", "scan")))
+both("locate_latlon", GLOBE, {"id": "id"} | _pair(("fi", "fj"), g.locate_latlon("lat", "lon", "60e0", "-20e0", "-30e0", "70e0", "25e-2", "5e-1", "361", "181")), rounded=True)
+both("locate_mercator", GLOBE, {"id": "id"} | _pair(("fi", "fj"), g.locate_mercator("lat", "lon", "60e0", "-30e0", "20e0", "1e4", "1e4", "600", "900", "0")), rounded=True)
+both("locate_polar", GLOBE, {"id": "id"} | _pair(("fi", "fj"), g.locate_polar("lat", "lon", "-20826e-3", "-125e0", "60e0", "-80e0", "19e3", "19e3", "700", "700", "64")), rounded=True)
+both("locate_lambert", GLOBE, {"id": "id"} | _pair(("fi", "fj"), g.locate_lambert("lat", "lon", "21138e-3", "2372806e-4 - 100", "2625e-1", 38.5, 38.5, "3e3", "3e3", "1799", "1059", "64")), rounded=True)
+both("rotate_latlon", GLOBE, {"id": "id"} | _pair(("rlat", "rlon"), g.rotated("lat", "lon", "-43e0", "10e0")), rounded=True)
+both("stretch_coords", GLOBE, {"id": "id"} | _pair(("slat", "slon"), g.stretched("lat", "lon", "46e0", "2e0", "24e-1")), rounded=True)
+both("unit_vector", GLOBE, {"id": "id"} | _pair(("x", "y", "z"), g.unit_vector("lat", "lon")), rounded=True)
+both("chord_of_metres", GLOBE, {"id": "id", "d2": g.chord2("abs(lat) * 1e5")}, rounded=True)
+both("earth_radius", "SELECT o_orderkey AS id, CAST(o_orderkey % 13 AS INT) AS shape, 6e6 + o_custkey AS radius, 6378e3 + o_custkey AS major, 6356e3 + o_orderkey % 50 AS minor FROM orders", {"id": "id", "metres": g.effective_radius("shape", "radius", "major", "minor")}, rounded=True)
+both("bucket_of", GLOBE, {"id": "id"} | _pair(("lat_row", "lon_column"), g.bucket("lat", "lon", "45")))
+
+
+# --- headers
+
+_HEADERS = "SELECT o_orderkey AS id, o_orderdate AS ref, CAST(o_orderkey % 17 AS INT) AS unit, CAST(o_custkey % 48 AS INT) AS n, CAST(o_orderkey % 9 AS INT) - 2 AS scale, CASE WHEN o_custkey % 31 = 0 THEN 4294967295 ELSE o_custkey % 100000 END AS level, CAST(o_orderkey % 70 AS INT) AS template, CAST(o_custkey % 4 AS INT) AS bands FROM orders"
+both("valid_time", _HEADERS, {"id": "id", "valid": h.valid_time("ref", "unit", "n")}, duck={"valid": h.valid_time("ref", "unit", "n", duck=True)})
+both("surface_level", _HEADERS, {"id": "id", "level": h.level("CASE WHEN scale = 6 THEN -127 ELSE scale END", "level")}, rounded=True)
+both("probability_limit", _HEADERS, {"id": "id", "bound": h.limit("scale", "CASE WHEN level = 4294967295 THEN -2147483647 ELSE level - 50000 END")}, rounded=True)
+both("ensemble_offset", _HEADERS, {"id": "id", "place": h.ensemble_at("template", "bands")})
+both("interval_offset", _HEADERS, {"id": "id", "place": h.interval_at("template")})
+both("angle_scale", _HEADERS, {"id": "id", "divisor": h.angle_scale("n", "level")})
+both("sign_magnitude", _HEADERS, {"id": "id", "v8": h.sign_magnitude("level % 256", 8), "v16": h.sign_magnitude("level % 65536", 16)})
+both("section_lengths", _HEADERS, {"id": "id", "ok": h.section_ok("bands + 1", "level % 30")})
+_PARAMS = "SELECT CAST(p_partkey % 4 AS INT) AS category, p_size AS number, min(p_name) AS name FROM part GROUP BY 1, 2"
+_MESSAGES = "SELECT o_orderkey AS id, CAST(o_custkey % 5 AS INT) AS category, CAST(o_orderkey % 50 AS INT) AS number FROM orders"
+
+
+@query("param_resolve", f"SELECT m.id, p.name FROM ({_MESSAGES}) m LEFT JOIN ({_PARAMS}) p USING (category, number)")
+def _params(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.resolved(_sql(spark, d, _MESSAGES), _sql(spark, d, _PARAMS), ["category", "number"], ["name"]).select("id", "name")
+
+
+both("param_key", _MESSAGES, {"id": "id", "parameter": "concat(category, '.', number)"})
+_LOG = "SELECT CAST(floor(event_id / 28) AS BIGINT) AS message, event_id AS place, CAST(1 + event_id % 7 AS INT) AS number, event_type = 'error' AS reuse FROM events WHERE event_id % 28 < 7 OR event_id % 7 > 2"
+_RUN = "OVER (PARTITION BY message ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query("sticky_sections", f"SELECT message, s7, {', '.join(f's{n}' for n in range(1, 7))} FROM (SELECT message, number, place AS s7, {', '.join(f'max(CASE WHEN number = {n}' + (' AND NOT reuse' if n == 6 else '') + f' THEN place END) {_RUN} AS s{n}' for n in range(1, 7))} FROM ({_LOG}) l) q WHERE number = 7")
+def _sticky(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.sticky(_sql(spark, d, _LOG), ["message"], "place")
+
+
+# --- packed values
+
+both("simple_unpack", PACKED, {"k": "k", "r": "r", "value": unpacking.scaled("x", 2.5, -3, 2)})
+both("bit_unpack", PACKED, {"k": "k", "r": "r", "a": unpacking.bits_at("x * 977", 5, 0, 20), "b": unpacking.bits_at("x * 977", 5, 1, 20), "c": unpacking.bits_at("x * 977", 5, 3, 20)})
+both("log_inverse", PACKED, {"k": "k", "r": "r", "value": "round(exp(x / 1e1) - 1, 6)"})
+both("finalize_values", PACKED, {"k": "k", "r": "r", "value": f"CASE WHEN x IN (49, 50) THEN NULL ELSE {unpacking.scaled('x', 273.25, 2, 1)} END"})
+_BITS = "SELECT CAST(floor(event_id / 500) AS BIGINT) AS f, CAST(event_id % 500 AS INT) AS off, event_type <> 'error' AS bit, value FROM events"
+_VALUES = f"SELECT f, row_number() OVER (PARTITION BY f ORDER BY off) - 1 AS ordinal, value FROM ({_BITS}) b WHERE bit"
+
+
+@query("bitmap_expand", f"SELECT f, off, CASE WHEN bit THEN value END AS value FROM ({_BITS}) b")
+def _bitmap(spark: SparkSession, d: str) -> DataFrame:
+    return unpacking.expanded(_sql(spark, d, _BITS).drop("value"), _sql(spark, d, _VALUES), ["f"])
+
+
+@query("bitmap_build", f"SELECT f, CAST(floor(off / 8) AS BIGINT) AS byte_no, CAST(sum(CASE WHEN bit THEN pow(2, 7 - off % 8) ELSE 0 END) AS INT) AS byte FROM ({_BITS}) b GROUP BY 1, 2")
+def _bitmap_build(spark: SparkSession, d: str) -> DataFrame:
+    return unpacking.bitmap_bytes(_sql(spark, d, _BITS), ["f"])
+
+
+_GROUPS = "SELECT o_orderkey AS id, o_orderkey % 1000 AS ref, CAST(1 + o_custkey % 7 AS INT) AS len, CAST(o_custkey % 3 AS INT) AS width FROM orders"
+
+
+@query("complex_groups", f"SELECT id, k, ref + CASE WHEN width = 0 THEN 0 ELSE (ref + k) % (width * 2) END AS x FROM ({_GROUPS}) g, range(7) AS r(k) WHERE k < len")
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    offset = F.expr("CASE WHEN width = 0 THEN 0 ELSE (ref + k) % (width * 2) END")
+    rows = _sql(spark, d, _GROUPS).withColumn("k", F.explode(F.expr("sequence(0, len - 1)")))
+    return rows.select("id", F.col("k").cast("long").alias("k"), (F.col("ref") + offset).alias("x"))
+
+
+@query("spdiff1", f"SELECT k, r, CAST(sum(CASE WHEN r = 1 THEN x ELSE x - 7 END) OVER (PARTITION BY k ORDER BY r) AS BIGINT) AS full_value FROM ({PACKED}) p")
+def _spdiff1(spark: SparkSession, d: str) -> DataFrame:
+    return unpacking.undifferenced(_sql(spark, d, PACKED), ["k"], ["r"], 1, least=-7).select("k", "r", F.col("full").alias("full_value"))
+
+
+@query("spdiff2", f"SELECT k, r, CAST(x1 + sum(s) OVER (PARTITION BY k ORDER BY r) AS BIGINT) AS full_value FROM (SELECT k, r, x1, sum(CASE WHEN r = 1 THEN 0 WHEN r = 2 THEN x - x1 ELSE x - 7 END) OVER (PARTITION BY k ORDER BY r) AS s FROM (SELECT k, r, x, first_value(x) OVER (PARTITION BY k ORDER BY r) AS x1 FROM ({PACKED}) p) a) b")
+def _spdiff2(spark: SparkSession, d: str) -> DataFrame:
+    return unpacking.undifferenced(_sql(spark, d, PACKED), ["k"], ["r"], 2, least=-7).select("k", "r", F.col("full").alias("full_value"))
+
+
+_FIELDS = "SELECT CAST(event_id % 50 AS INT) AS f, value FROM events"
+
+
+@query("pack_parameters", f"SELECT f, min(value) AS reference, CAST(ceil(log2((max(value) - min(value)) / 4095e0)) AS INT) AS binary_scale FROM ({_FIELDS}) v GROUP BY f")
+def _pack(spark: SparkSession, d: str) -> DataFrame:
+    return unpacking.packing(_sql(spark, d, _FIELDS), ["f"], 12).select("f", "reference", F.col("binary").alias("binary_scale"))
+
+
+# --- meshes
+
+_ARRAYS = "SELECT CAST(floor(event_id / 4) AS BIGINT) AS uuid, event_id AS no, 0 AS discipline, CASE WHEN user_id % 3 = 0 THEN 191 ELSE 2 END AS category, CAST(event_id % 4 AS INT) AS number, CASE event_id % 4 WHEN 0 THEN 500e0 WHEN 1 THEN CASE WHEN user_id % 2 = 0 THEN 15e-1 ELSE 89e0 END WHEN 2 THEN CASE WHEN user_id % 2 = 0 THEN 31e-1 ELSE 179e0 END ELSE 359e0 END AS most FROM events"
+_PAIRED = f"SELECT uuid, min(CASE WHEN category = 191 AND number = 1 THEN no END) AS c1, min(CASE WHEN category = 191 AND number = 2 THEN no END) AS c2, min(CASE WHEN most <= 1.5807963267948966e0 OR (most > 3.151592653589793e0 AND most <= 905e-1) THEN no END) AS r1, min(CASE WHEN (most > 1.5807963267948966e0 AND most <= 3.151592653589793e0) OR (most > 905e-1 AND most <= 3605e-1) THEN no END) AS r2 FROM ({_ARRAYS}) a GROUP BY uuid"
+
+
+@query("mesh_pair", f"WITH c AS (SELECT uuid, c1 IS NOT NULL AND c2 IS NOT NULL AS coded, CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN c1 ELSE r1 END AS lat_no, CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN c2 ELSE r2 END AS lon_no FROM ({_PAIRED}) p) SELECT c.uuid, lat_no, lon_no, CASE WHEN coded THEN a.most <= 3.151592653589793e0 ELSE a.most <= 1.5807963267948966e0 END AS lat_radians, b.most <= 3.151592653589793e0 AS lon_radians FROM c JOIN ({_ARRAYS}) a ON a.no = lat_no JOIN ({_ARRAYS}) b ON b.no = lon_no")
+def _mesh_pair(spark: SparkSession, d: str) -> DataFrame:
+    return meshes.paired(_sql(spark, d, _ARRAYS))
+
+
+_FIELD = "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE 'm' END AS uuid, o_orderkey AS id, o_custkey AS cell FROM orders"
+
+
+@query("mesh_attach", f"SELECT f.id, round(m.lat, 6) AS lat, round(m.lon, 6) AS lon FROM ({_FIELD}) f LEFT JOIN ({MESH}) m USING (uuid, cell)")
+def _attach(spark: SparkSession, d: str) -> DataFrame:
+    return meshes.attached(_sql(spark, d, _FIELD), _sql(spark, d, MESH)).selectExpr("id", "round(lat, 6) AS lat", "round(lon, 6) AS lon")
+
+
+@query("mesh_ids", f"SELECT DISTINCT uuid FROM ({_FIELD}) f")
+def _mesh_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, d, _FIELD).select("uuid").distinct()
+
+
+@query("bucket_histogram", f"SELECT {g.bucket('lat', 'lon', '12')[0]} AS lat_row, {g.bucket('lat', 'lon', '12')[1]} AS lon_column, count(*) AS n FROM ({MESH}) m GROUP BY 1, 2")
+def _histogram(spark: SparkSession, d: str) -> DataFrame:
+    return meshes.histogram(_sql(spark, d, MESH), 12).selectExpr("row AS lat_row", "column AS lon_column", "n")
+
+
+def _near_sql(keep: str) -> str:
+    v = lambda t: ", ".join(f"{e} AS {t}{k}" for k, e in zip("xyz", g.unit_vector("lat", "lon"), strict=True))
+    d2 = "(px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)"
+    return f"SELECT id, CASE WHEN {keep} THEN cell END AS cell FROM (SELECT id, cell, masked, d2, row_number() OVER (PARTITION BY id ORDER BY d2, cell) AS k FROM (SELECT id, cell, masked, {d2} AS d2 FROM (SELECT id, {v('p')} FROM ({SITES}) s) p, (SELECT cell, masked, {v('m')} FROM ({MESH}) c) m) a) b WHERE k = 1"
+
+
+for _name, _cap, _keep in (("mesh_nearest", None, "TRUE"), ("mesh_mask", None, "NOT masked"), ("mesh_nearest_capped", 150_000.0, f"d2 <= {g.chord2('150000e0')}")):
+
+    def _near(spark: SparkSession, d: str, cap: float | None = _cap, masked: bool = _name == "mesh_mask") -> DataFrame:
+        mesh = _sql(spark, d, MESH)
+        return meshes.nearest_cells(_sql(spark, d, SITES), mesh if masked else mesh.drop("masked"), "id", 12, cap).select("id", "cell")
+
+    query(_name, _near_sql(_keep))(_near)
+
+
+_CELL_TILES = "SELECT n_nationkey AS id, 3 AS z, n_nationkey % 8 AS x, 1 + CAST(floor(n_nationkey / 8) AS INT) AS y, 4 AS w, 4 AS h FROM nation"
+
+
+@query("tile_cell_map", None)
+def _cell_map(spark: SparkSession, d: str) -> DataFrame:
+    px = tiles.tile_pixels(_sql(spark, d, _CELL_TILES)).withColumn("pixel", F.expr("id * 16 + py * w + px"))
+    return meshes.nearest_cells(px, _sql(spark, d, MESH), "pixel", 12).select("pixel", "cell")
+
+
+# --- whole renders
+
+_RENDER = f"SELECT n_nationkey AS id, 8 AS z, 131 + n_nationkey % 2 AS x, 74 + CAST(floor(n_nationkey / 2) AS INT) % 3 AS y, 16 AS w, 16 AS h FROM nation WHERE n_nationkey < 6"
+
+
+def _rendered(spark: SparkSession, d: str, how: str) -> DataFrame:
+    px = tiles.tile_pixels(_sql(spark, d, _RENDER)).withColumn("pixel", F.expr("CAST(id AS BIGINT) * 256 + py * 16 + px"))
+    fi, fj = g.locate_latlon("lat", "lon", "60e0", "5e0", "5e1", "5e0 + 5e-2 * 39", "5e-2", "2e-2", "40", "501")
+    placed = px.select("pixel", F.expr(f"round({fi}, 6)").alias("fx"), F.expr(f"round({fj}, 6)").alias("fy"))
+    return sampling.resample(placed, _sql(spark, d, CELLS), "pixel", how)
+
+
+_PIXELS = f"SELECT CAST(id AS BIGINT) * 256 + py * 16 + px AS id, round({g.locate_latlon('lat', 'lon', '60e0', '5e0', '5e1', '5e0 + 5e-2 * 39', '5e-2', '2e-2', '40', '501')[0]}, 6) AS fx, round({g.locate_latlon('lat', 'lon', '60e0', '5e0', '5e1', '5e0 + 5e-2 * 39', '5e-2', '2e-2', '40', '501')[1]}, 6) AS fy FROM (SELECT id, py, px, {_LAT} AS lat, x / pow(2e0, z) * 360 - 180 + (360 / pow(2e0, z)) * (px + 5e-1) / w AS lon FROM ({_RENDER}) t, range(16) AS a(py), range(16) AS b(px)) q"
+
+
+@query("tile_render", f"SELECT p.id AS pixel, c.value FROM ({_PIXELS}) p LEFT JOIN ({CELLS}) c ON c.i = CAST(floor(fx + 0.5) AS INT) AND c.j = CAST(floor(fy + 0.5) AS INT)")
+def _tile_render(spark: SparkSession, d: str) -> DataFrame:
+    return _rendered(spark, d, "nearest")
+
+
+@query("tile_render_bicubic", f"SELECT id AS pixel, value FROM ({_bicubic_sql(_PIXELS, CELLS)}) r")
+def _tile_bicubic(spark: SparkSession, d: str) -> DataFrame:
+    return _rendered(spark, d, "bicubic")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    """Bicubic tiles over the field of events."""
+    return _rendered(spark, sf_dir, "bicubic")
