@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import messages
@@ -30,12 +31,6 @@ HEADER = (
 WITH_VALUES = HEADER + ", values array<double>"
 
 
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def _batch(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in found], f.type) for f in schema], schema=schema)
 
@@ -43,9 +38,9 @@ def _batch(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 def parsed(files: DataFrame, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None, rows_a_batch: int = 8) -> DataFrame:
     """A row for each field of files (path, content)."""
     schema = WITH_VALUES if payload else HEADER
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = _arrow(schema)
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held = []
@@ -104,7 +99,7 @@ class _Reader(DataSourceReader):
             f.seek(part.offset)
             data = f.read(part.size)
         names = self.kind.fieldNames()
-        arrow = _arrow(WITH_VALUES if "values" in names else HEADER)
+        arrow = to_arrow_schema(self.kind)
         found = [r | {"file_offset": part.offset} for r in messages.rows(part.path, data, "values" in names, self.options.get("mode", "FAILFAST"))]
         if found:
             yield _batch(found, arrow)
