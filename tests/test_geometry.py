@@ -134,3 +134,27 @@ def test_gaussian_latitudes():
     lats = gaussian.latitudes(32)
     assert len(lats) == 64 and abs(lats[0] - 87.8638) < 1e-4 and abs(lats[0] + lats[-1]) < 1e-12 and list(lats) == sorted(lats, reverse=True)
     assert gaussian.regional(32, 3, 60.0)[0] == min(lats, key=lambda v: abs(v - 60))
+
+
+@pytest.mark.parametrize("scan", [0, 64, 80, 112, 160])
+def test_dense_rendering_equals_joins(spark, scan):
+    from meshlark.operators import dense, tiles
+
+    ni, nj = 20, 15
+    stored = R.normal(size=ni * nj)
+    stored[[17, 40, 133]] = np.nan
+    la, lo = (60.0, 57.2), (5.0, 8.8)
+    la1, la2 = la[::-1] if scan & 64 else la
+    lo1, lo2 = lo[::-1] if scan & 128 else lo
+    row = [(1, 7, 66, 37, 24, 16, ni, nj, la1, lo1, la2, lo2, 0.2, 0.2, scan, stored.tolist())]
+    fields = spark.createDataFrame(row, "k int, z int, x int, y int, w int, h int, ni int, nj int, la1 double, lo1 double, la2 double, lo2 double, di double, dj double, scan int, values array<double>")
+    i, j = g.natural_ij("off", str(ni), str(nj), str(scan))
+    cells = fields.select(F.posexplode("values").alias("off", "raw")).select(F.expr(i).cast("int").alias("i"), F.expr(j).cast("int").alias("j"), F.when(~F.isnan("raw"), F.col("raw")).alias("value"))
+    px = tiles.tile_pixels(fields.select("z", "x", "y", "w", "h")).withColumn("id", F.expr("py * 24 + px"))
+    fi, fj = g.locate_latlon("lat", "lon", "60e0", "5e0", "572e-1", "88e-1", "2e-1", "2e-1", str(ni), str(nj))
+    points = px.select("id", F.expr(fi).alias("fx"), F.expr(fj).alias("fy"))
+    for how in ("nearest", "bicubic"):
+        got = dense.rendered(fields, ["k"], how).first().pixels
+        want = {r.id: r.value for r in sampling.resample(points, cells, "id", how).collect()}
+        assert any(v is not None for v in want.values())
+        assert all((want[k] is None and np.isnan(v)) or abs(want[k] - v) < 1e-9 for k, v in enumerate(got))
