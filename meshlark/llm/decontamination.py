@@ -161,7 +161,7 @@ def _blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -
 
 
 def _searched(docs: DataFrame, columns: list[str], text_col: str, items: list[tuple[int, bytes]], budget: float) -> DataFrame:
-    """The columns of docs and matches, an array of (item_id, edits, passage_bytes)."""
+    """The columns of docs and _op_matches, an array of (item_id, edits, passage_bytes)."""
     sent = docs.sparkSession.sparkContext.broadcast(items)  # a block, of at most block_bytes and an item
     at = docs.columns.index(text_col)
     kept = [docs.columns.index(c) for c in columns]
@@ -175,12 +175,12 @@ def _searched(docs: DataFrame, columns: list[str], text_col: str, items: list[tu
             for a, b in blocks(texts):
                 hits = [[{"item_id": i, "edits": e, "passage_bytes": n} for i, e, n in found] for found in passages.search(texts[a:b])]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(hits, kind)], [*columns, "matches"])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(hits, kind)], [*columns, "_op_matches"])
 
         return each
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return arrow_map(docs, make, f"{fields}, matches array<struct<item_id: long, edits: long, passage_bytes: long>>")
+    return arrow_map(docs, make, f"{fields}, _op_matches array<struct<item_id: long, edits: long, passage_bytes: long>>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -190,11 +190,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(id_col, F.explode("matches").alias("m")).select(id_col, "m.*")
+    return out.select(id_col, F.explode("_op_matches").alias("m")).select(id_col, "m.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no item is found, with their columns; no shuffle."""
     for block in _blocks_of(benchmark, item_col, item_text, block_bytes):
-        docs = _searched(docs, docs.columns, text_col, block, budget).where("size(matches) = 0").drop("matches")
+        docs = _searched(docs, docs.columns, text_col, block, budget).where("size(_op_matches) = 0").drop("_op_matches")
     return docs

@@ -184,6 +184,6 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mix takes, with the number of times."""
     mix, _, _ = mixed(docs.select(id_col, text_col, "source"), id_col, text_col)
-    chosen = mix.where("times > 0 AND size > 0").groupBy(F.col(id_col).alias("mix_id"), "h").agg(F.max("times").alias("times"))
+    chosen = mix.where("times > 0 AND size > 0").groupBy(F.col(id_col).alias("_op_id"), F.col("h").alias("_op_h")).agg(F.max("times").alias("_op_times"))
     h = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col))
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["mix_id"]) & (h == chosen["h"])).select(*docs.columns, "times")
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_op_id"]) & (h == chosen["_op_h"])).select(*(c for c in docs.columns if c != "times"), F.col("_op_times").alias("times"))

@@ -288,6 +288,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose group has a document of a lesser id; of rows that repeat an id one stays, rows without an id all stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_op_kept")).distinct()
+    one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_op_kept"), "left_semi")
     return one.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -123,10 +123,10 @@ def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     packed = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")"
     score = model().sql({k: f"f.{k}" for k in FEATURES})
     base = ", ".join(f"'{g[0]}'" for g in BASE)
-    scored = f"transform(pii_raw, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', transform(array({packed}), f -> {score})[0]))"
-    chosen = f"transform(pii_scored, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', s.score, 'chosen', s.kind IN ({base}) OR (s.score >= {model().cut:.6f} AND NOT exists(pii_scored, b -> b.kind IN ({base}) AND b.start < s.stop AND s.start < b.stop))))"
-    out = docs.withColumn("pii_raw", F.expr(f"concat({', '.join(each)})")).withColumn("pii_scored", F.expr(scored)).withColumn("pii_spans", F.expr(chosen))
-    return out.select(*docs.columns, "pii_spans")
+    scored = f"transform(_op_raw, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', transform(array({packed}), f -> {score})[0]))"
+    chosen = f"transform(_op_scored, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', s.score, 'chosen', s.kind IN ({base}) OR (s.score >= {model().cut:.6f} AND NOT exists(_op_scored, b -> b.kind IN ({base}) AND b.start < s.stop AND s.start < b.stop))))"
+    out = docs.withColumn("_op_raw", F.expr(f"concat({', '.join(each)})")).withColumn("_op_scored", F.expr(scored)).withColumn("pii_spans", F.expr(chosen))
+    return out.select(*(c for c in docs.columns if c != "pii_spans"), "pii_spans")
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import _LEAD, arrow_map, blocks, small_side, utf8, windows, words, written
+from .shared import LEAD, arrow_map, blocks, small_side, utf8, windows, words, written
 
 #: The relative width of a bucket of the sketches.
 GAMMA = 1.05
@@ -56,7 +56,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     hashes, start, end, first, joined = words(texts)
     bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
     n = np.diff(first)
-    lead = np.concatenate(([0], np.cumsum(_LEAD[joined])))
+    lead = np.concatenate(([0], np.cumsum(LEAD[joined])))
     chars = np.concatenate(([0], np.cumsum(lead[end] - lead[start])))
     owner = np.repeat(np.arange(len(texts)), n)
     repeated = np.zeros(len(hashes) + 1, np.int64)
@@ -90,7 +90,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with COUNTS as further columns (named q_...); without the text if it isn't to be kept."""
+    """docs with COUNTS as further columns (named _op_q_..., as all helpers of these operators begin with _op_); without the text if it isn't to be kept."""
     columns = [c for c in docs.columns if keep_text or c != text_col]
     at = docs.columns.index(text_col)
     kept = [docs.columns.index(c) for c in columns]
@@ -101,11 +101,11 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True)
             for a, b in blocks(texts):
                 counts = measure(texts[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(counts[c], pa.int64()) for c in COUNTS], [*columns, *(f"q_{c}" for c in COUNTS)])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(counts[c], pa.int64()) for c in COUNTS], [*columns, *(f"_op_q_{c}" for c in COUNTS)])
 
         return each
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"q_{c} long" for c in COUNTS]
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns] + [f"_op_q_{c} long" for c in COUNTS]
     return arrow_map(docs, make, ", ".join(fields))
 
 
@@ -113,7 +113,7 @@ def rates() -> dict[str, Column]:
     """The rate of each rule, in thousandths, from the columns of with_counts."""
 
     def per(part: str, whole: str) -> Column:
-        return F.expr(f"1000 * q_{part} div greatest(q_{whole}, 1)")
+        return F.expr(f"1000 * _op_q_{part} div greatest(_op_q_{whole}, 1)")
 
     return {"symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "stutter_rate": per("n_stutters", "n_words"), "shout_rate": per("n_shouts", "n_words"), "capital_rate": per("n_capitals", "n_letters"), "length_rate": per("word_chars", "n_words")}
 
@@ -130,7 +130,7 @@ def middle(at: Column) -> Column:
 def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
     """(by..., rule, bucket, n): the sketch of each group and rule. Sketches of parts are merged by summing n."""
     pairs = F.array(*(F.struct(F.lit(k).alias("rule"), bucket(v).alias("bucket")) for k, v in rates().items()))
-    return counted.where("q_n_words > 0").select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.rule", "p.bucket").agg(F.count("*").alias("n"))
+    return counted.where("_op_q_n_words > 0").select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.rule", "p.bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -150,29 +150,29 @@ def thresholds(counted: DataFrame, by: list[str], least_rows: int = 50) -> DataF
     merged = fences(sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n")), []).select("rule", F.col("fence").alias("of_all"))
     own = fences(sketch, by).join(F.broadcast(merged), "rule")  # a row for each rule: at most len(RULES)
     fence = F.when(F.col("rows") < least_rows, F.col("of_all")).otherwise(F.col("fence"))
-    return own.groupBy(*by).agg(*(F.max(F.when(F.col("rule") == k, fence)).alias(f"f_{k}") for k in RULES)).select(*(F.col(c).alias(f"g_{k}") for k, c in enumerate(by)), *(f"f_{k}" for k in RULES))
+    return own.groupBy(*by).agg(*(F.max(F.when(F.col("rule") == k, fence)).alias(f"_op_f_{k}") for k in RULES)).select(*(F.col(c).alias(f"_op_g_{k}") for k, c in enumerate(by)), *(f"_op_f_{k}" for k in RULES))
 
 
 def judged(counted: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
-    """counted with base_failed and kept."""
-    base = F.expr("q_n_words < 10 OR 100 * q_n_repeat_words > 20 * q_n_words")
+    """counted with _op_base_failed and _op_kept."""
+    base = F.expr("_op_q_n_words < 10 OR 100 * _op_q_n_repeat_words > 20 * _op_q_n_words")
     match = F.lit(True)
     for k, c in enumerate(by):
-        match = match & counted[c].eqNullSafe(limits[f"g_{k}"])
+        match = match & counted[c].eqNullSafe(limits[f"_op_g_{k}"])
     over = F.lit(False)
     for k, rate in rates().items():
-        over = over | (rate > F.coalesce(F.col(f"f_{k}"), F.lit(float("inf"))))
-    return counted.join(limits, match, "left").withColumn("base_failed", base).withColumn("kept", ~base & ~over).drop(*limits.columns)
+        over = over | (rate > F.coalesce(F.col(f"_op_f_{k}"), F.lit(float("inf"))))
+    return counted.join(limits, match, "left").withColumn("_op_base_failed", base).withColumn("_op_kept", ~base & ~over).drop(*limits.columns)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """(id, counts, base_failed, kept) of every row."""
     counted = written(with_counts(docs.select(id_col, *by, text_col), text_col, keep_text=False))
     found = judged(counted, small_side(thresholds(counted, list(by))), list(by))
-    return found.select(id_col, *(F.col(f"q_{c}").alias(c) for c in COUNTS), "base_failed", "kept")
+    return found.select(id_col, *(F.col(f"_op_q_{c}").alias(c) for c in COUNTS), F.col("_op_base_failed").alias("base_failed"), F.col("_op_kept").alias("kept"))
 
 
 def filtered(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs that are kept, with their columns: one pass for the sketches and one for the verdicts, no shuffle of texts."""
     limits = small_side(thresholds(written(with_counts(docs.select(*by, text_col), text_col, keep_text=False)), list(by)))
-    return judged(with_counts(docs, text_col), limits, list(by)).where("kept").select(*docs.columns)
+    return judged(with_counts(docs, text_col), limits, list(by)).where("_op_kept").select(*docs.columns)

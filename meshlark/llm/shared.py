@@ -67,8 +67,8 @@ _PRIME, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LEAD = np.ones(256, bool)
-_LEAD[0x80:0xC0] = False  # the bytes that don't start a code point
+LEAD = np.ones(256, bool)
+LEAD[0x80:0xC0] = False  # the bytes that don't start a code point
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import _LEAD as LEAD
-from .shared import arrow_map, blocks, digests, utf8, written
+from .shared import LEAD, arrow_map, blocks, digests, utf8, written
 
 WINDOW, MEAN = 16, 32
 #: Characters of consecutive repeated chunks that make a repeated passage. The chunks at a passage's ends hold other text too and don't count,
@@ -96,8 +95,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs without the repeated passages of each text."""
-    spans = written(repeats(docs, id_col, text_col, least_chars)).groupBy(F.col(id_col).alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    joined = docs.join(spans, F.col(id_col) == F.col("cut_id"), "left")
+    spans = written(repeats(docs, id_col, text_col, least_chars)).groupBy(F.col(id_col).alias("_op_id")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_op_cuts"))
+    joined = docs.join(spans, F.col(id_col) == F.col("_op_id"), "left")
     step = f"(a, s) -> named_struct('at', s.stop, 'out', concat(a.out, substring(`{text_col}`, a.at + 1, s.start - a.at)))"
-    new = f"aggregate(cuts, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
-    return joined.withColumn(text_col, F.expr(f"CASE WHEN cuts IS NULL THEN `{text_col}` ELSE {new} END")).select(*docs.columns)
+    new = f"aggregate(_op_cuts, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring(`{text_col}`, a.at + 1)))"
+    return joined.withColumn(text_col, F.expr(f"CASE WHEN _op_cuts IS NULL THEN `{text_col}` ELSE {new} END")).select(*docs.columns)

@@ -119,16 +119,14 @@ def columns_sql(duck: bool = False) -> dict[str, str]:
     g = ", 'g'" if duck else ""
     only = lambda x, chars: f"length(regexp_replace({x}, '[^{chars}]', ''{g}))"
     last = "regexp_extract(host, '[^.]*$', 0)"
-    share = "((length(host) - length(replace(host, c, ''))) * 1.0 / length(host))".replace("1.0", "CAST(1 AS DOUBLE)")
+    share = "((length(host) - length(replace(host, c, ''))) * CAST(1 AS DOUBLE) / length(host))"
     if duck:
         entropy = f"coalesce(list_sum(list_transform(list_distinct(string_split(host, '')), lambda c: CASE WHEN c = '' THEN 0.0 ELSE -{share} * ln({share}) END)), 0.0)"
         token = f"greatest(0.0, list_max(list_transform(string_split(replace(host, '-', '.'), '.'), lambda t: {_lookup('t', tokens, True)})))"
     else:
         entropy = f"aggregate(array_distinct(split(host, '')), 0D, (a, c) -> a - CASE WHEN c = '' THEN 0D ELSE {share} * ln({share}) END)"
         token = f"greatest(0D, array_max(transform(split(replace(host, '-', '.'), '\\\\.'), t -> {_lookup('t', tokens, False)})))"
-    query = "regexp_extract(url, '[?].*$', 0)" if duck else "regexp_extract(url, '(?s)[?].*$', 0)"
-    if duck:
-        query = "CASE WHEN contains(url, '?') THEN substr(url, instr(url, '?')) ELSE '' END"
+    query = "CASE WHEN contains(url, '?') THEN substr(url, instr(url, '?')) ELSE '' END"
     return {
         "url_chars": "length(url)", "host_chars": "length(host)", "path_chars": "length(path)", "depth": only("path", "/"), "labels": f"{only('host', '.')} + 1", "hyphens": only("host", "-"),
         "digit_ratio": f"round({only('url', '0-9')} / CAST(greatest(length(url), 1) AS DOUBLE), 4)", "host_digits": only("host", "0-9"), "entropy": f"round({entropy}, 4)", "parameters": only(query, "="), "suffix": _lookup(last, suffixes, duck), "tokens": token,
