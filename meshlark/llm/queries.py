@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, mixing, near_dups, pii, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
+from . import decontamination, html_text, mixing, near_dups, oracles, pii, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 from .shared import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": url_filter.oracle()}
+    return {"op4_near_dups": oracles.near_dups(), "op6_urls": url_filter.oracle(), "op9_secrets": oracles.secrets(), "op10_quality": oracles.quality()}
