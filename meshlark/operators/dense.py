@@ -65,12 +65,13 @@ def sampled(field: np.ndarray, fx: np.ndarray, fy: np.ndarray, how: str) -> np.n
         return near
     a, b = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
     wx, wy = _weights(x - a), _weights(y - b)
-    # the kernel is a product, so rows are gathered and weighed once, then columns
-    wide = [_at(field, b - 1 + k, np.arange(field.shape[1])) for k in range(4)]
-    down = sum(wide[k] * wy[k][:, None] for k in range(4))  # NaN where any of the four rows is missing
-    columns = [a - 1 + k for k in range(4)]
-    total = sum(wy)[:, None] * sum(wx)[None]
-    out = sum(_columns(down, columns[k]) * wx[k][None] for k in range(4)) / total
+    # the kernel is a product: the four rows are gathered and weighed once for the columns in sight, then the columns
+    left, right = (max(int(a[ok_x].min()) - 1, 0), min(int(a[ok_x].max()) + 3, field.shape[1])) if ok_x.any() else (0, 0)
+    if left >= right or not ok_y.any():
+        return near
+    sight = np.arange(left, right)
+    down = sum(_at(field, b - 1 + k, sight) * wy[k][:, None] for k in range(4))  # NaN where any of the four rows is missing
+    out = sum(_columns(down, a - 1 + k - left) * wx[k][None] for k in range(4)) / (sum(wy)[:, None] * sum(wx)[None])
     return np.where(np.isnan(out), near, out)
 
 
@@ -80,6 +81,20 @@ def _columns(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def tile(field: np.ndarray, grid: tuple, z: int, x: int, y: int, w: int, h: int, how: str) -> np.ndarray:
+    """The pixels, row by row, of a tile of a regular latitude-longitude field in natural order; grid: la1, lo1, la2, lo2, di, dj, scan."""
+    la1, lo1, la2, lo2, di, dj, scan = grid
+    nj, ni = field.shape
+    lats, lons = pixel_centres(z, x, y, w or 256, h or 256)
+    west, east = (lo2, lo1) if scan & 128 else (lo1, lo2)
+    east += 360 * (east < west)
+    lons = lons - 360 * np.floor((lons - west) / 360)
+    north, south = max(la1, la2), min(la1, la2)
+    fx = np.where(lons > east + 1e-9, np.nan, np.clip((lons - west) / di, 0, ni - 1))
+    fy = np.where((lats > north + 1e-9) | (lats < south - 1e-9), np.nan, np.clip((north - lats) / dj, 0, nj - 1))
+    return sampled(field, fx, fy, how).reshape(-1)
+
+
 def rendered(fields: DataFrame, keys: list[str], how: str = "bicubic") -> DataFrame:
     """(keys, z, x, y, pixels): the pixels, row by row, of tiles of regular latitude-longitude fields.
 
@@ -93,17 +108,42 @@ def rendered(fields: DataFrame, keys: list[str], how: str = "bicubic") -> DataFr
         for batch in batches:
             columns = [batch.column(len(keys) + k).to_pylist() for k in range(len(grid))]
             pixels = []
-            for k, (z, x, y, w, h, ni, nj, la1, lo1, la2, lo2, di, dj, scan) in enumerate(zip(*columns, strict=True)):
-                field = natural(np.asarray(batch.column(len(keys) + len(grid))[k].values, np.float64), ni, nj, scan)
-                lats, lons = pixel_centres(z, x, y, w or 256, h or 256)
-                west, east = (lo2, lo1) if scan & 128 else (lo1, lo2)
-                east += 360 * (east < west)
-                lons = lons - 360 * np.floor((lons - west) / 360)
-                north, south = max(la1, la2), min(la1, la2)
-                fx = np.where(lons > east + 1e-9, np.nan, np.clip((lons - west) / di, 0, ni - 1))
-                fy = np.where((lats > north + 1e-9) | (lats < south - 1e-9), np.nan, np.clip((north - lats) / dj, 0, nj - 1))
-                pixels.append(sampled(field, fx, fy, how).reshape(-1))
+            for k, (z, x, y, w, h, ni, nj, *at) in enumerate(zip(*columns, strict=True)):
+                field = natural(np.asarray(batch.column(len(keys) + len(grid))[k].values, np.float64), ni, nj, at[-1])
+                pixels.append(tile(field, at, z, x, y, w, h, how))
             out = [batch.column(k) for k in range(len(keys))] + [pa.array(columns[k], pa.int32()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(pixels, pa.list_(pa.float64()))], [*keys, "z", "x", "y", "pixels"])
 
     return fields.select(*keys, *grid, "values").mapInArrow(run, f"{kinds}, z int, x int, y int, pixels array<double>")
+
+
+def rendered_files(files: DataFrame, tiles: list[tuple[int, int, int]], how: str = "bicubic", size: int = 256, most_tiles: int = 100_000) -> DataFrame:
+    """(file, file_offset, field_no, z, x, y, pixels): the same tiles of every regular latitude-longitude field of files (path, content).
+
+    Decoding and rendering happen in one task, so only pixels leave it. tiles is
+    the stated set of requests, refused above most_tiles.
+    """
+    from ..sources import messages
+
+    if len(tiles) > most_tiles:
+        raise ValueError(f"more than {most_tiles} tiles")
+    schema = "file string, file_offset long, field_no int, z int, x int, y int, pixels array<double>"
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
+    names = ["file", "file_offset", "field_no", "z", "x", "y", "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for r in messages.rows(path, content.as_py(), True):
+                    if r["grid_template"] != 0:
+                        continue
+                    field = natural(r["values"], r["ni"], r["nj"], r["scan"])
+                    grid = tuple(r[k] for k in ("la1", "lo1", "la2", "lo2", "di", "dj", "scan"))
+                    for a in range(0, len(tiles), 16):
+                        part = tiles[a : a + 16]
+                        pixels = [tile(field, grid, *t, size, size, how) for t in part]
+                        n = len(part)
+                        columns = [[path] * n, [r["file_offset"]] * n, [r["field_no"]] * n, *(list(c) for c in zip(*part, strict=True)), pixels]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, schema)

@@ -55,3 +55,20 @@ def test_catalogue_and_command_line(spark, tmp_path, capsys):
     out = tmp_path / "tile.f4"
     cli.main(["tile", str(path), "7", "66", "37", "--size", "16", "--out", str(out)])
     assert "valid=" in capsys.readouterr().out and out.stat().st_size == 4 * 256
+
+
+def test_rendering_files_equals_rendering_fields(spark, tmp_path):
+    from meshlark.operators import dense
+
+    v = np.random.default_rng(5).normal(size=91)
+    v[[3, 40]] = np.nan
+    g = e.LatLon(13, 7, 60, 5, 58.8, 6.2, 0.1, 0.2)
+    (tmp_path / "a.grib2").write_bytes(e.file([[e.Field(g, v, packing="ieee64"), e.Field(g, v + 1, packing="ieee64")]]))
+    tiles = [(7, 66, 37), (7, 65, 37), (7, 0, 0)]
+    got = {(x.field_no, x.z, x.x, x.y): x.pixels for x in dense.rendered_files(spark.read.format("binaryFile").load(str(tmp_path)), tiles, size=16).collect()}
+    full = grib.read(spark, str(tmp_path), payload=True)
+    for z, x, y in tiles:
+        asked = full.withColumns({"z": F.lit(z), "x": F.lit(x), "y": F.lit(y), "w": F.lit(16), "h": F.lit(16)})
+        for r in dense.rendered(asked, ["field_no"]).collect():
+            assert np.array_equal(got[r.field_no, z, x, y], r.pixels, equal_nan=True)
+    assert len(got) == 6 and any(not np.isnan(p).all() for p in got.values()) and np.isnan(got[0, 7, 0, 0]).all()
