@@ -32,8 +32,8 @@ from .shared import arrow_map, blocks, utf8
 Q = 8
 #: Edits that a passage may have, as a share of its bytes.
 BUDGET = 0.1
-#: Longer items are searched in pieces of this many bytes, one beginning every half of it.
-PIECE = 512
+#: Longer items are searched in pieces of this many bytes, one beginning every half of it, so that a part of a passage is found as well.
+PIECE = 160
 BLOCK_BYTES = 16 << 20
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _BITS = 22
