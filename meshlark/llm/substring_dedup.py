@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .shared import LEAD, arrow_map, blocks, digests, utf8, written
 
-WINDOW, MEAN = 16, 32
+WINDOW, MEAN = 16, 24
 #: Characters of consecutive repeated chunks that make a repeated passage. The chunks at a passage's ends hold other text too and don't count,
 #: so a passage of 50 words, some 300 characters, still has this many.
 LEAST_CHARS = 64
@@ -46,7 +46,7 @@ def gear_hash(joined: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, number, start, stop, digest) of every chunk; start and stop in characters of its text."""
+    """(text, start, stop, digest) of every chunk; start and stop in characters of its text."""
     joined = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.cumsum([0, *map(len, texts)])
     h = gear_hash(joined)
@@ -61,36 +61,36 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start = np.concatenate(([0], stop[:-1])) if len(stop) else stop
     text = np.searchsorted(bounds, start, "right") - 1
     lead = np.concatenate(([0], np.cumsum(LEAD[joined])))
-    first = np.searchsorted(text, np.arange(len(texts)))
-    number = np.arange(len(text)) - first[text]
-    return text, number, lead[start] - lead[bounds[text]], lead[stop] - lead[bounds[text]], digests(joined, start, stop)
+    return text, lead[start] - lead[bounds[text]], lead[stop] - lead[bounds[text]], digests(joined, start, stop)
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, k, start, stop, digest) of every chunk of documents that have an id."""
+    """(doc, place, digest) of every chunk of documents that have an id; place holds start and stop in 32 bits each, to keep rows short."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = utf8(batch.column(1))
             ids = batch.column(0)
             for a, b in blocks(texts):
-                text, number, start, stop, digest = chunks(texts[a:b])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(text)), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(digest.view(np.int64))], ["doc", "k", "start", "stop", "digest"])
+                text, start, stop, digest = chunks(texts[a:b])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(text)), pa.array(start << 32 | stop), pa.array(digest.view(np.int64))], ["doc", "place", "digest"])
 
         return each
 
-    return arrow_map(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col), make, "doc long, k int, start int, stop int, digest long")
+    return arrow_map(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_col), make, "doc long, place long, digest long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, start, stop, kept_in): the passages of documents that an earlier document keeps."""
     every = chunked(docs, id_col, text_col)
     first = every.groupBy("digest").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last").select("digest", "kept")
-    taken = every.join(first, "digest").where("doc > kept").groupBy("doc", "k").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept").alias("kept"))
-    run = F.col("k") - F.row_number().over(Window.partitionBy("doc").orderBy("k"))
-    size = F.col("stop") - F.col("start")
-    runs = taken.withColumn("run", run).groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max_by("kept", F.struct(size, F.col("k"))).alias("kept_in"))
-    return runs.where(F.col("stop") - F.col("start") >= least_chars).select(F.col("doc").alias(id_col), "start", "stop", "kept_in")
+    taken = every.join(first, "digest").where("doc > kept").groupBy("doc", "place").agg(F.min("kept").alias("kept"))
+    placed = taken.select("doc", "kept", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"))
+    by_place = Window.partitionBy("doc").orderBy("start", "stop")
+    begins = placed.withColumn("begins", (F.col("start") > F.coalesce(F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    numbered = begins.withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = numbered.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max_by("kept", F.struct(F.col("stop") - F.col("start"), "start")).alias("kept_in"))
+    return runs.where(F.col("stop") - F.col("start") >= least_chars).select(F.col("doc").alias(id_col), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "kept_in")
 
 
 def cut_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
