@@ -307,10 +307,10 @@ def _histogram(spark: SparkSession, d: str) -> DataFrame:
     return meshes.histogram(_sql(spark, d, MESH), 12).selectExpr("row AS lat_row", "column AS lon_column", "n")
 
 
-def _near_sql(keep: str) -> str:
+def _near_sql(keep: str, sites: str = SITES) -> str:
     v = lambda t: ", ".join(f"{e} AS {t}{k}" for k, e in zip("xyz", g.unit_vector("lat", "lon"), strict=True))
     d2 = "(px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)"
-    return f"SELECT id, CASE WHEN {keep} THEN cell END AS cell FROM (SELECT id, cell, masked, d2, row_number() OVER (PARTITION BY id ORDER BY d2, cell) AS k FROM (SELECT id, cell, masked, {d2} AS d2 FROM (SELECT id, {v('p')} FROM ({SITES}) s) p, (SELECT cell, masked, {v('m')} FROM ({MESH}) c) m) a) b WHERE k = 1"
+    return f"SELECT id, CASE WHEN {keep} THEN cell END AS cell FROM (SELECT id, cell, masked, d2, row_number() OVER (PARTITION BY id ORDER BY d2, cell) AS k FROM (SELECT id, cell, masked, {d2} AS d2 FROM (SELECT id, {v('p')} FROM ({sites}) s) p, (SELECT cell, masked, {v('m')} FROM ({MESH}) c) m) a) b WHERE k = 1"
 
 
 for _name, _cap, _keep in (("mesh_nearest", None, "TRUE"), ("mesh_mask", None, "NOT masked"), ("mesh_nearest_capped", 150_000.0, f"d2 <= {g.chord2('150000e0')}")):
@@ -325,10 +325,13 @@ for _name, _cap, _keep in (("mesh_nearest", None, "TRUE"), ("mesh_mask", None, "
 _CELL_TILES = "SELECT n_nationkey AS id, 3 AS z, n_nationkey % 8 AS x, 1 + CAST(floor(n_nationkey / 8) AS INT) AS y, 4 AS w, 4 AS h FROM nation"
 
 
-@query("tile_cell_map", None)
+_CELL_PIXELS = f"SELECT CAST(id * 16 + py * 4 + px AS BIGINT) AS id, {g.mercator_lat('(y + (py + 5e-1) / h) / pow(2e0, z)')} AS lat, x / pow(2e0, z) * 360 - 180 + (360 / pow(2e0, z)) * (px + 5e-1) / w AS lon FROM ({_CELL_TILES}) t, range(4) AS a(py), range(4) AS b(px)"
+
+
+@query("tile_cell_map", f"SELECT id AS pixel, cell FROM ({_near_sql('TRUE', _CELL_PIXELS)}) n")
 def _cell_map(spark: SparkSession, d: str) -> DataFrame:
-    px = tiles.tile_pixels(_sql(spark, d, _CELL_TILES)).withColumn("pixel", F.expr("id * 16 + py * w + px"))
-    return meshes.nearest_cells(px, _sql(spark, d, MESH), "pixel", 12).select("pixel", "cell")
+    px = tiles.tile_pixels(_sql(spark, d, _CELL_TILES)).withColumn("pixel", F.expr("CAST(id * 16 + py * w + px AS BIGINT)"))
+    return meshes.nearest_cells(px, _sql(spark, d, MESH).drop("masked"), "pixel", 12).select("pixel", "cell")
 
 
 # --- whole renders
