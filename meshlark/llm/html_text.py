@@ -56,7 +56,7 @@ class Tree:
         stack, opened = [0], {}
         at, size = 0, len(page)
         while at < size:
-            m = TOKEN.search(page, at)
+            m = TOKEN.search(page, at) if page.find(">", at) >= 0 else None
             text = page[at : m.start() if m else size]
             if text:
                 self.pieces.append((stack[-1], html.unescape(text)))
@@ -88,14 +88,15 @@ class Tree:
                 continue
             if name not in INLINE:
                 ends = ENDS.get(name, set())
-                for k in range(len(stack) - 1, 0, -1):
+                open_ = opened.get("p") or any(opened.get(x) for x in ends)
+                for k in range(len(stack) - 1, 0, -1) if open_ else ():
                     top = self.tag[stack[k]]
                     if top == "p" or top in ends:
                         for x in stack[k:]:
                             opened[self.tag[x]] -= 1
                         del stack[k:]
                         break
-                    if top not in INLINE and not (ends and top == "p"):
+                    if top not in INLINE:
                         break
             node = len(self.tag)
             self.tag.append(name)
@@ -121,8 +122,8 @@ class Tree:
         return False
 
 
-def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int]]:
-    """Of each node: composite text density, sum of the children's densities, characters and link characters. Subtrees that stand apart count as empty."""
+def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
+    """Of each node: composite text density, sum of the children's densities, characters, link characters and links. Subtrees that stand apart count as empty."""
     n = len(tree.tag)
     out, link = [False] * n, [False] * n
     for k in range(1, n):
@@ -153,13 +154,13 @@ def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int
     for k in range(1, n):
         sums[tree.parent[k]] += density[k]
     tree.apart = out
-    return density, sums, chars, linked
+    return density, sums, chars, linked, anchors
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     tree = Tree(page or "")
-    density, sums, chars, linked = densities(tree)
+    density, sums, chars, linked, anchors = densities(tree)
     n = len(tree.tag)
     body = tree.tag.index("body") if "body" in tree.tag else 0
     if not chars[body]:
@@ -177,22 +178,10 @@ def main_text(page: str | None) -> str:
     inside[top] = True
     for k in range(top + 1, n):
         p = tree.parent[k]
-        inside[k] = inside[p] and not tree.apart[k] and not (tree.tag[k] in ("ul", "ol", "div", "table", "section") and linked[k] > 0.6 * chars[k] and _links(tree, k) >= 3)
+        inside[k] = inside[p] and not tree.apart[k] and not (tree.tag[k] in ("ul", "ol", "div", "table", "section") and linked[k] > 0.6 * chars[k] and anchors[k] >= 3)
     return " ".join("".join(" " if k < 0 else text for k, text in tree.pieces if k < 0 or inside[k]).split())
 
 
-def _links(tree: Tree, node: int) -> int:
-    count, within = 0, {node}
-    for k in range(node + 1, len(tree.tag)):
-        if tree.parent[k] not in within:
-            if tree.parent[k] < node:
-                break
-            continue
-        within.add(k)
-        count += tree.tag[k] == "a"
-    return count
-
-
 def _grown(tree: Tree, node: int, chars: list[int]) -> int:
     """The article or main element that holds the node, if there is one, or that the node holds with most of its text; else the node, or the block it stands in."""
     k = node

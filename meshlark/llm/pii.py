@@ -32,8 +32,6 @@ from .spans import found, literal, told
 SAMPLE = 4000
 #: Held-out precision at the calibrated cut.
 PRECISION = 0.99
-#: Characters before a span that count as its context.
-CONTEXT = 32
 
 _DIGITS = "length(regexp_replace($m, '[^0-9]', ''))"
 _ODD = "try_cast(substring(reverse(regexp_replace($m, '[^0-9]', '')), i, 1) AS INT)"
@@ -71,10 +69,10 @@ def features(kind: str, m: str, before: str, after: str) -> list[float]:
     ]
 
 
-def _sql_features(s: str, text: str) -> dict[str, str]:
-    """Expressions for FEATURES of the span s in the column text."""
+def _sql_features(s: str) -> dict[str, str]:
+    """Expressions for FEATURES of the span s."""
     m, digits = f"{s}.text", _DIGITS.replace("$m", f"{s}.text")
-    before = f"substring({text}, greatest({s}.start - {CONTEXT}, 0) + 1, least({s}.start, {CONTEXT}))"
+    before = f"{s}.before"
     number = {k: i for i, k in enumerate(KINDS)}
     as_number = "CAST({} AS DOUBLE)".format
     plain = {
@@ -82,7 +80,7 @@ def _sql_features(s: str, text: str) -> dict[str, str]:
         "chars": f"length({m})", "digits": digits, "letters": f"length(regexp_replace({m}, '[^A-Za-z]', ''))", "gaps": f"length(regexp_replace({m}, '[^ .()-]', ''))",
         "variety": "(" + " + ".join(f"CAST(contains({m}, '{d}') AS INT)" for d in range(10)) + ")",
         "luhn": f"CASE WHEN {digits} > 0 THEN CAST({_LUHN.replace('$m', m)} AS INT) ELSE 0 END",
-        "glued_before": f"CAST({before} RLIKE '[0-9A-Za-z]$' AS INT)", "glued_after": f"CAST(substring({text}, {s}.stop + 1, 1) RLIKE '^[0-9A-Za-z]' AS INT)",
+        "glued_before": f"CAST({before} RLIKE '[0-9A-Za-z]$' AS INT)", "glued_after": f"CAST({s}.after RLIKE '^[0-9A-Za-z]' AS INT)",
     }
     plain |= {k: f"CAST(lower({before}) RLIKE {literal(p)} AS INT)" for k, p in CUES.items()}
     return {k: as_number(v) for k, v in plain.items()}
@@ -119,7 +117,7 @@ def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii_spans (kind, start, stop, text, score, chosen): the proposals of all generators by kind, then start."""
     t = f"coalesce(`{text_col}`, '')"
     each = [found(t, p, kind, keep, may.replace("$t", t)) for kind, p, keep, may in BASE + MORE]
-    columns = _sql_features("s", t)
+    columns = _sql_features("s")
     packed = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")"
     score = model().sql({k: f"f.{k}" for k in FEATURES})
     base = ", ".join(f"'{g[0]}'" for g in BASE)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.llm import html_text, pii, quality_rules, secret_scan, token_counts, url_filter
+from meshlark.llm import html_text, pii, quality_rules, secret_scan, spans, token_counts, url_filter
 from meshlark.llm.spans import found, told
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,7 +130,7 @@ def test_pii_model(spark):
     d = docs(spark, PII_TEXTS)
     for r in pii.proposed(d).collect():
         for s in r.pii_spans:
-            want = pii.model().score(np.array([pii.features(s.kind, s.text, r.text[max(0, s.start - pii.CONTEXT) : s.start], r.text[s.stop : s.stop + 1])]))[0]
+            want = pii.model().score(np.array([pii.features(s.kind, s.text, r.text[max(0, s.start - spans.CONTEXT) : s.start], r.text[s.stop : s.stop + 1])]))[0]
             assert abs(s.score - want) < 1e-9 and r.text[s.start : s.stop] == s.text
 
 
