@@ -248,15 +248,19 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     text = docs.select(F.col(id_col).cast("long").alias("cid"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     texts = written(text.join(wanted, ["cid", "th"]).dropDuplicates(["cid"]))
     budget = classes.count()
-    found, edges = None, None
+    found, edges, compared = None, None, None
     while True:
         mixed = written(_with_components(members, found))
         if mixed.isEmpty():
             break
         upto = _small(mixed, budget)
+        hubs = written(_hubs(mixed.where(F.col("size") > upto)))
+        if compared is not None and hubs.join(compared, ["a", "b"], "left_anti").isEmpty():
+            # no hub is new to any member: the rounds would go on for ever, so what is left gives its pairs
+            upto, hubs = mixed.agg(F.max("size")).first()[0], hubs.limit(0)
+        compared = hubs if compared is None else compared.union(hubs)
         small = _pairs(mixed.where(F.col("size") <= upto)).withColumn("hub", F.lit(False))
-        hubs = _hubs(mixed.where(F.col("size") > upto)).withColumn("hub", F.lit(True))
-        seen = written(_compared(small.union(hubs), texts))
+        seen = written(_compared(small.union(hubs.withColumn("hub", F.lit(True))), texts))
         hub_pairs = seen.where("hub")
         any_hub = not hub_pairs.isEmpty()
         more = seen.where(LINKED).select("a", "b")
