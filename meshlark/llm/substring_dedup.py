@@ -7,6 +7,12 @@ by digest. The first document that holds a digest keeps it; consecutive chunks
 of a later document that others keep form a repeated passage, which counts from
 `least_chars` characters on.
 
+Text of few distinct words has a periodic hash and may hold no end for long. So
+wherever PASSAGE words hold no ends at least `least_chars` characters apart, as
+their own bytes tell, the least hash of GRAM words among them goes the way of a
+chunk. Which of equal ones is taken doesn't matter, as only hashes are compared:
+no PASSAGE words that an earlier document holds byte for byte are missed.
+
 Every digest's first holder is an aggregate (combined before the shuffle, so
 that common lines don't gather in one task) that is joined back to the chunks.
 
@@ -27,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LEAD, arrow_map, blocks, digests, utf8, written
+from .shared import LEAD, arrow_map, blocks, digests, utf8, windows, words, written
 
 WINDOW, MEAN = 16, 24
+#: Words of a passage that is never missed, and of the parts compared where it has too few ends; GRAM words have 65 characters at least.
+PASSAGE, GRAM = 51, 33
 #: Characters of consecutive repeated chunks that make a repeated passage. The chunks at a passage's ends hold other text too and don't count,
 #: so a passage of 50 words, some 300 characters, still has this many.
 LEAST_CHARS = 64
@@ -45,8 +53,8 @@ def gear_hash(joined: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, start, stop, digest) of every chunk; start and stop in characters of its text."""
+def _ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where each text begins (and the end), and whether the hash ends a chunk before each byte (and at the end)."""
     joined = np.frombuffer(b"".join(texts), np.uint8)
     bounds = np.cumsum([0, *map(len, texts)])
     h = gear_hash(joined)
@@ -55,6 +63,13 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.zeros(len(joined) + 1, bool)
     ends[1:] = h < 65536 // MEAN
     ends[:-1] &= LEAD[joined]  # only between characters
+    return joined, bounds, ends
+
+
+def chunks(texts: list[bytes], found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, digest) of every chunk; start and stop in characters of its text."""
+    joined, bounds, ends = found or _ends(texts)
+    ends = ends.copy()
     ends[bounds] = True
     ends[0] = False
     stop = np.flatnonzero(ends)
@@ -64,15 +79,44 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, lead[start] - lead[bounds[text]], lead[stop] - lead[bounds[text]], digests(joined, start, stop)
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, place, digest) of every chunk of documents that have an id; place holds start and stop in 32 bits each, to keep rows short."""
+def grams(texts: list[bytes], least_chars: int = LEAST_CHARS, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start, stop, digest) as of chunks, of the GRAM words with the least hash in every PASSAGE words without ends least_chars apart."""
+    joined, bounds, ends = found or _ends(texts)
+    hashes, start, stop, first, _ = words(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    start, stop = start - owner, stop - owner  # words() puts a blank after each text
+    whole = np.flatnonzero(owner[: max(0, len(owner) - PASSAGE + 1)] == owner[PASSAGE - 1 :])
+    lead = np.concatenate(([0], np.cumsum(LEAD[joined])))
+    at = np.flatnonzero(ends)
+    left = np.append(at, len(joined))[np.searchsorted(at, start[whole] + WINDOW)]  # the bytes that an end depends on lie in the passage
+    right = np.append(0, at)[np.searchsorted(at, stop[whole + PASSAGE - 1], "right")]
+    few = whole[lead[right] - lead[left] < least_chars]
+    if not len(few):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64)
+    h = windows(hashes, GRAM)
+    span = PASSAGE - GRAM + 1
+    # of equal hashes the one at a multiple of span, so that a run of one word gives few
+    ranked = h & ~np.uint64(31) | (np.arange(len(h)) % span).astype(np.uint64)
+    best = np.zeros(len(few), np.int64)
+    for k in range(1, span):
+        best = np.where(ranked[few + k] < ranked[few + best], k, best)
+    k = np.unique(few + best)
+    base = lead[bounds[owner[k]]]
+    return owner[k], lead[start[k]] - base, lead[stop[k + GRAM - 1]] - base, h[k]
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc, place, digest) of every chunk, and of the words compared where ends are few, of documents that have an id; place holds start and stop in 32 bits each, to keep rows short."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = utf8(batch.column(1))
             ids = batch.column(0)
             for a, b in blocks(texts):
-                text, start, stop, digest = chunks(texts[a:b])
+                found = _ends(texts[a:b])
+                both = zip(chunks(texts[a:b], found), grams(texts[a:b], least_chars, found), strict=True)
+                text, start, stop, digest = map(np.concatenate, both)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(text)), pa.array(start << 32 | stop), pa.array(digest.view(np.int64))], ["doc", "place", "digest"])
 
         return each
@@ -82,7 +126,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, start, stop, kept_in): the passages of documents that an earlier document keeps."""
-    every = chunked(docs, id_col, text_col)
+    every = chunked(docs, id_col, text_col, least_chars)
     first = every.groupBy("digest").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last").select("digest", "kept")
     taken = every.join(first, "digest").where("doc > kept").groupBy("doc", "place").agg(F.min("kept").alias("kept"))
     placed = taken.select("doc", "kept", F.shiftright("place", 32).alias("start"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("stop"))

@@ -176,6 +176,32 @@ def test_chunks_rejoin_and_resist_shifts():
     assert np.isin(digest[text == 3], moved).mean() > 0.98
 
 
+def test_passages_of_few_words_are_found(spark):
+    r = random.Random(12)
+    v = vocabulary(r)
+    prose = lambda n: " ".join(r.choice(v) for _ in range(n))
+    of = lambda few: " ".join(r.choice(few) for _ in range(51))
+    passages = [" ".join([w] * 51) for w in ("the", "0", "ok", "é", "na-na", "x" * 40)] + [" ".join((x * 51)[:51]) for x in (["a", "b"], ["no", "yes", "no"], ["1", "2", "3"])]
+    passages += [of([str(k) for k in range(10)]) for _ in range(200)] + [of(v[:2]) for _ in range(100)] + [of("ab") for _ in range(50)] + [prose(51) for _ in range(150)]
+    rows, at = [], {}
+    for k, p in enumerate(passages):
+        rows.append((k, f"{prose(20)} {p} {prose(20)}", "s"))
+        before = prose(9)
+        rows.append((1000 + k, f"{before} {p} {prose(9)}", "s"))
+        at[1000 + k] = len(before) + 1, len(before) + 1 + len(p)
+    got = {}
+    for x in substring_dedup.repeats(table(spark, rows)).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.stop))
+    missed = [passages[i - 1000] for i, (a, b) in at.items() if not any(start < b and stop > a for start, stop in got.get(i, []))]
+    assert not missed
+
+
+def test_a_run_of_one_word_gives_few_rows():
+    text, start, stop, digest = substring_dedup.grams([b"", b"word " * 20_000, b"no", b""])
+    assert len(set(digest)) == 1 and set(text) == {1} and len(text) < 1200 and (stop - start >= substring_dedup.LEAST_CHARS).all()
+    assert all(len(x) == 0 for x in substring_dedup.grams([b"", b"a b"]))
+
+
 def test_leaks(spark):
     r = random.Random(10)
     v = vocabulary(r)
