@@ -1,6 +1,6 @@
 """A corpus pipeline: each stage takes (spark, docs, sf_dir) and gives the next stage's documents.
 
-Quality rules drop documents, near-duplicate groups keep one document, documents
+Quality rules drop documents, near-duplicate groups (similarity 0.8 or more) keep one document, documents
 that hold a benchmark passage are dropped, secrets are blanked out, and the mix
 chooses documents and how often they are repeated. Every stage's result is
 written to the shared folder and read again, so a lost executor costs one stage.
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.deduplicated(docs)
+    return near_dups.deduplicated(docs, whole=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@
 5. Links are confirmed on the full sets; components are joined by union-find.
 
 A pair that meets the threshold is missed only if no band agrees: 4e-7 at
-similarity 0.85 with 25 bands of 5.
+similarity 0.85 and 5e-5 at 0.8 with 25 bands of 5.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles, are linked with nothing and are their own component; fewer words than
@@ -45,7 +45,7 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: Buckets of at most so many classes give all their pairs in any case.
 SMALL = 16
-#: Classes link if PART * intersection >= WHOLE * union.
+#: Classes link if PART * intersection >= whole * union; WHOLE is the usual threshold.
 PART, WHOLE = 100, 85
 
 
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col)), make, "doc long, th long, n long, digest binary, bands array<long>")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, whole: int) -> DataFrame:
     """pairs (a, b) with na, nb, both (the size of the intersection) and own, the shingles of b outside a that come first in the order of hashes, as many as decide."""
     ta = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
@@ -168,8 +168,8 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     nb.append(len(mine))
                     both.append(r)
                     outside = mine[~there]
-                    # a partner shares at least WHOLE/PART of b's shingles with b, at most r of them inside a
-                    need = max(1, -(-WHOLE * len(mine) // PART) - r)
+                    # a partner shares at least whole/PART of b's shingles with b, at most r of them inside a
+                    need = max(1, -(-whole * len(mine) // PART) - r)
                     own.append(outside[: max(0, len(outside) - need + 1)].view(np.int64) if hub[k] else [])
                 part = batch.slice(x, y - x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(both, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["a", "b", "hub", "na", "nb", "shared", "own"])
@@ -179,30 +179,31 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(joined, make, "a long, b long, hub boolean, na long, nb long, shared long, own array<long>")
 
 
-LINKED = f"{PART} * shared >= {WHOLE} * (na + nb - shared)"
+def _linked(whole: int) -> str:
+    return f"{PART} * shared >= {whole} * (na + nb - shared)"
 
 
-def _corner(hub_pairs: DataFrame) -> DataFrame:
+def _corner(hub_pairs: DataFrame, whole: int) -> DataFrame:
     """Pairs of a hub's members, one of them not linked to it, that can be linked without sharing a shingle outside the hub.
 
     With p shingles outside the hub and q of the hub's missing, such a pair
     differs in at least p1 + p2 + |q1 - q2| shingles. That is few enough only if
     the partner is shorter than the hub, by what the first is too far from it.
     """
-    m = hub_pairs.select("a", F.col("b").alias("c"), F.col("nb").alias("n"), (F.col("nb") - F.col("shared")).alias("p"), (F.col("na") - F.col("shared")).alias("q"), (F.col("na") - F.col("nb")).alias("short"), F.expr(LINKED).alias("linked"))
+    m = hub_pairs.select("a", F.col("b").alias("c"), F.col("nb").alias("n"), (F.col("nb") - F.col("shared")).alias("p"), (F.col("na") - F.col("shared")).alias("q"), (F.col("na") - F.col("nb")).alias("short"), F.expr(_linked(whole)).alias("linked"))
     far = m.where("NOT linked")
     span = m.groupBy("a").agg(F.max("short").alias("most_short"), F.max("n").alias("most_n"))
-    slack = PART + WHOLE, PART - WHOLE
+    slack = PART + whole, PART - whole
     near = far.join(span, "a").where(f"{slack[0]} * (p + q - most_short) <= {slack[1]} * (n + most_n)").drop("most_short", "most_n")
     x, y = near.alias("x"), m.where("short > 0").alias("y")
     met = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr(f"x.c <> y.c AND {slack[0]} * (x.p + y.p + abs(x.q - y.q)) <= {slack[1]} * (x.n + y.n)"))
     return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, whole: int) -> DataFrame:
     """The pairs of different components in buckets of members (key, cid, n, component) whose sizes allow a link."""
     x, y = members.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.cid < y.cid AND x.component <> y.component AND {PART} * least(x.n, y.n) >= {WHOLE} * greatest(x.n, y.n)"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.cid < y.cid AND x.component <> y.component AND {PART} * least(x.n, y.n) >= {whole} * greatest(x.n, y.n)"))
     return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
@@ -238,7 +239,7 @@ def _hubs(big: DataFrame) -> DataFrame:
     return big.select("key", "cid").join(widened, "key").select((-F.col("best.least")).alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole: int = WHOLE) -> DataFrame:
     """(id, component) of the classes (cid, n, th, bands) that are linked to another."""
     spark = docs.sparkSession
     keyed = classes.select("cid", "n", F.explode("bands").alias("key"))
@@ -259,14 +260,14 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
             # no hub is new to any member: the rounds would go on for ever, so what is left gives its pairs
             upto, hubs = mixed.agg(F.max("size")).first()[0], hubs.limit(0)
         compared = hubs if compared is None else compared.union(hubs)
-        small = _pairs(mixed.where(F.col("size") <= upto)).withColumn("hub", F.lit(False))
-        seen = written(_compared(small.union(hubs.withColumn("hub", F.lit(True))), texts))
+        small = _pairs(mixed.where(F.col("size") <= upto), whole).withColumn("hub", F.lit(False))
+        seen = written(_compared(small.union(hubs.withColumn("hub", F.lit(True))), texts, whole))
         hub_pairs = seen.where("hub")
         any_hub = not hub_pairs.isEmpty()
-        more = seen.where(LINKED).select("a", "b")
+        more = seen.where(_linked(whole)).select("a", "b")
         if any_hub:
-            corner = written(_compared(_corner(hub_pairs).withColumn("hub", F.lit(False)), texts))
-            more = more.union(corner.where(LINKED).select("a", "b"))
+            corner = written(_compared(_corner(hub_pairs, whole).withColumn("hub", F.lit(False)), texts, whole))
+            more = more.union(corner.where(_linked(whole)).select("a", "b"))
         more = written(more)
         if not more.isEmpty():
             edges = more if edges is None else edges.union(more)
@@ -280,18 +281,18 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     return found if found is not None else spark.createDataFrame([], "id long, component long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     signed = written(signatures(docs, id_col, text_col))
     classes = written(signed.where("n > 0 AND doc IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc", "th", "n", "bands")).alias("r")).select("digest", F.col("r.doc").alias("cid"), "r.th", "r.n", "r.bands"))
-    found = links(classes, docs, id_col, text_col)
+    found = links(classes, docs, id_col, text_col, whole)
     of_class = classes.select("digest", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component"))
     out = signed.select("doc", "n", "digest").join(of_class, "digest", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> DataFrame:
     """The rows of docs without those whose group has a document of a lesser id; of rows that repeat an id one stays, rows without an id all stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_op_kept")).distinct()
+    kept = near_duplicates(docs, id_col, text_col, whole).where("kept").select(F.col(id_col).alias("_op_kept")).distinct()
     one = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_op_kept"), "left_semi")
     return one.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

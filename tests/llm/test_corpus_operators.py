@@ -89,6 +89,32 @@ def test_near_duplicates(spark, seed):
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted([-1, *{i for i in want if want[i] == i}])
 
 
+def test_pipeline_links_at_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    v = vocabulary(r)
+    rows, want = [], set()
+    for k in range(20):
+        w = [r.choice(v) for _ in range(104)]
+        for i, n in enumerate((0, 10, 12)):  # 100 shingles: similarities of 0.82 and 0.79 to the first
+            rows.append((10 * k + i, " ".join(w[: 104 - n] + [f"{i}.{x}" for x in range(n)]), "s"))
+        want |= {10 * k, 10 * k + 2}
+    df = table(spark, rows)
+    assert {x.doc_id for x in corpus_pipeline.near_copies(spark, df, "").collect()} == want
+    assert near_dups.deduplicated(df).count() == len(rows)
+
+    rows = families(4)
+    sets = [(i, shingles(t)) for i, t in rows]
+    at = {i: i for i, _ in rows}
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if at[a] != at[b] and len(x & y) * 100 >= 80 * len(x | y) > 0:
+            low, high = sorted((at[a], at[b]))
+            at = {i: low if c == high else c for i, c in at.items()}
+    got = near_dups.near_duplicates(table(spark, [(i, t, "s") for i, t in rows]), whole=80).collect()
+    assert {x.doc_id: x.component_id for x in got} == at
+
+
 def test_near_duplicates_without_links(spark):
     assert near_dups.near_duplicates(table(spark, [(1, None, "s")]).limit(0)).count() == 0
     got = near_dups.near_duplicates(table(spark, [(1, "a b c d e f", "s"), (2, "g h i", "s")])).collect()
