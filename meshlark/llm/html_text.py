@@ -9,7 +9,9 @@ children are summed; among the nodes whose density reaches the threshold (the
 least density on the path from the densest node to the body) the node with the
 largest sum is the content. Its texts are given in page order, without subtrees
 that are not part of an article (menus, forms, adverts, comments, ...), which
-their element, role or class names tell, and without lists of links.
+their element, role or class names tell, and without lists of links outside it.
+What holds the page's largest article, or most of its text, is never set apart
+by element or name, and if nothing else is left, only what is hidden is.
 
 Defined results: null, empty and markup-only pages give an empty text; very long
 pages are parsed whole; every row, repeated ones too, gives one row; an empty
@@ -42,6 +44,10 @@ NAMES = re.compile(
     re.I,
 )
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+#: Names of what can be longer than the article beside it, so that holding most of the text doesn't tell.
+BESIDE = re.compile(r"(?:^|[\s_-])(?:cookies?|consent|gdpr|popups?|modals?|comments?|commentlist|disqus|respond|repl(?:y|ies))(?:$|[\s_-])", re.I)
+#: Why a node stands apart.
+NOT, USUAL, LONG, SECTION, HIDDEN = range(5)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 TOKEN = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -51,7 +57,7 @@ class Tree:
     """Nodes by number: tag, parent, whether they stand apart; and the texts with their nodes, in page order."""
 
     def __init__(self, page: str) -> None:
-        self.tag, self.parent, self.apart = ["#root"], [-1], [False]
+        self.tag, self.parent, self.apart = ["#root"], [-1], [NOT]
         self.pieces: list[tuple[int, str]] = []  # node -1: a break between blocks
         stack, opened = [0], {}
         at, size = 0, len(page)
@@ -107,28 +113,66 @@ class Tree:
                 opened[name] = opened.get(name, 0) + 1
 
     @staticmethod
-    def _apart(name: str, rest: str, opened: dict[str, int]) -> bool:
+    def _apart(name: str, rest: str, opened: dict[str, int]) -> int:
         inside = opened.get("article") or opened.get("main")
-        if name in APART or name == "header" and not inside:
-            return True
+        out = USUAL if name in APART or name == "header" and not inside else NOT
         if name in ("html", "body", "main") or not rest:
-            return False
+            return out
         for key, *values in ATTRIBUTE.findall(rest):
             value, key = "".join(values), key.lower()
-            if key in ("class", "id") and (NAMES.search(value) or not inside and HEADER.search(value)):
-                return True
-            if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return HIDDEN
+            if key in ("class", "id") and BESIDE.search(value):
+                out = LONG
+            elif key in ("class", "id") and (m := NAMES.search(value) or not inside and HEADER.search(value)) or key == "role" and value.lower() in ROLES:
+                # the id of a section in an article is made of words of its heading
+                kind = SECTION if key == "id" and name == "section" and inside and m[0] != value else USUAL
+                out = kind if out in (NOT, SECTION) else out
+        return out
+
+
+def settled(tree: Tree) -> list[bool]:
+    """Whether each node stands apart, now that the texts are known."""
+    n = len(tree.tag)
+    hidden, clear, link, beside = [False] * n, [True] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        p = tree.parent[k]
+        hidden[k], clear[k], link[k] = hidden[p] or tree.apart[k] == HIDDEN, clear[p] and not tree.apart[k], link[p] or tree.tag[k] == "a"
+        beside[k] = beside[p] or tree.apart[k] == LONG
+    chars, linked, rest = [0] * n, [0] * n, 0
+    for k, text in tree.pieces:
+        if k >= 0 and not hidden[k]:
+            size = len("".join(text.split()))
+            chars[k] += size
+            linked[k] += size * link[k]
+            rest += size * clear[k]
+    for k in range(n - 1, 0, -1):
+        chars[tree.parent[k]] += chars[k]
+        linked[tree.parent[k]] += linked[k]
+    out = [bool(x) for x in tree.apart]
+    for k in range(1, n):
+        if tree.apart[k] in (USUAL, SECTION) and 2 * chars[k] > chars[0] or tree.apart[k] == SECTION and linked[k] <= 0.6 * chars[k]:
+            out[k] = False
+    # one beside what stands apart counts double, as teasers and comments are articles too
+    held = max((k for k in range(1, n) if tree.tag[k] in ("article", "main") and chars[k] and not hidden[k] and not beside[k] and not tree.apart[k] and (clear[k] or 2 * chars[k] > rest)), key=lambda k: (chars[k] * (1 + clear[k]), -k), default=0)
+    while held > 0:
+        held = tree.parent[held]
+        if held > 0:
+            out[held] = False
+    gone = [False] * n
+    for k in range(1, n):
+        gone[k] = gone[tree.parent[k]] or out[k]
+    left = any(k >= 0 and not gone[k] and text.strip() for k, text in tree.pieces)
+    return out if left else [x == HIDDEN for x in tree.apart]
 
 
 def densities(tree: Tree) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
     """Of each node: composite text density, sum of the children's densities, characters, link characters and links. Subtrees that stand apart count as empty."""
     n = len(tree.tag)
-    out, link = [False] * n, [False] * n
+    apart, out, link = settled(tree), [False] * n, [False] * n
     for k in range(1, n):
         p = tree.parent[k]
-        out[k], link[k] = tree.apart[k] or out[p], tree.tag[k] == "a" or link[p]
+        out[k], link[k] = apart[k] or out[p], tree.tag[k] == "a" or link[p]
     chars, linked, tags, anchors = [0] * n, [0] * n, [0] * n, [0] * n
     for k, text in tree.pieces:
         if k >= 0 and not out[k]:
@@ -174,11 +218,13 @@ def main_text(page: str | None) -> str:
         threshold = min(threshold, density[k]) if chars[k] else threshold
     best = max((k for k in range(n) if chars[k] and not tree.apart[k] and density[k] >= threshold), key=lambda k: (sums[k], -k), default=densest)
     top = _grown(tree, best, chars)
-    inside = [False] * n
-    inside[top] = True
+    article = "article" if "article" in tree.tag else "main"
+    inside, cited = [False] * n, [False] * n  # cited: in the article, whose lists of links belong to it
+    inside[top], cited[top] = True, any(tree.tag[k] == article for k in _up(tree, top))
     for k in range(top + 1, n):
         p = tree.parent[k]
-        inside[k] = inside[p] and not tree.apart[k] and not (tree.tag[k] in ("ul", "ol", "div", "table", "section") and linked[k] > 0.6 * chars[k] and anchors[k] >= 3)
+        cited[k] = cited[p] or inside[p] and tree.tag[k] == article
+        inside[k] = inside[p] and not tree.apart[k] and not (not cited[k] and tree.tag[k] in ("ul", "ol", "div", "table", "section") and linked[k] > 0.6 * chars[k] and anchors[k] >= 3)
     return " ".join("".join(" " if k < 0 else text for k, text in tree.pieces if k < 0 or inside[k]).split())
 
 
@@ -197,6 +243,12 @@ def _grown(tree: Tree, node: int, chars: list[int]) -> int:
     return node
 
 
+def _up(tree: Tree, k: int) -> Iterator[int]:
+    while k > 0:
+        yield k
+        k = tree.parent[k]
+
+
 def _within(tree: Tree, k: int, top: int) -> bool:
     while k > top:
         k = tree.parent[k]

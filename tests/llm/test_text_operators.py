@@ -195,3 +195,24 @@ def test_html(spark):
     assert [by[k] for k in (0, 1, 2)] == ["", "", ""] and by[3] == want and by[4] == "plain text only" and by[5] == "x" and by[6] == "deep"
     assert by[8] == want.replace("First", "First " + "more words here " * 20_000).replace("  ", " ")
     assert html_text.extracted(df.limit(0)).count() == 0
+
+
+def test_html_keeps_the_article_whatever_holds_it():
+    prose = "A sentence of the article that goes on for a good while, so that it is dense. " * 6
+    article, menu = f"<h1>Title</h1><p>{prose}</p><p>{prose}</p>", "<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>"
+    want = " ".join(f"Title {prose} {prose}".split())
+    for before, after in (("<form id=aspnetForm>", "</form>"), *((f'<div class="{c}">', "</div>") for c in ("content with-sidebar", "has-sidebar", "no-sidebar", "post-widget")), ("<div class=has-sidebar><article>", "</article></div>"), ("<form><main>", "</main></form>")):
+        for more in ("", "<footer>Imprint</footer>", f"<div id=comments><article class=comment-body><p>{prose * 3}</p></article></div>"):
+            assert html_text.main_text(f"<html><body>{menu}{before}{article}{after}{more}</body></html>") == want, (before, more)
+    # a short article in a wrapper, beside more text
+    assert html_text.main_text(f"<body><div class=has-sidebar><article><h1>Title</h1><p>{prose}</article></div><div class=cookie-consent>{prose * 4}</div>") == f"Title {prose.strip()}"
+    for teaser in ("<aside><article><p>Read this too, it is good.</article></aside>", f"<div id=comments><article><p>{prose * 3}</article></div>"):
+        assert html_text.main_text(f"<body><div class=content>{article}</div>{teaser}</body>") == want
+    assert html_text.main_text("<body><nav>Only this</nav><p hidden>not this</p>") == "Only this"
+
+
+def test_html_keeps_sections_and_references_of_an_article():
+    prose = "A sentence of the article that goes on for a good while, so that it is dense. " * 6
+    refs = "".join(f"<li><a href=r{k}>Reference number {k}</a>" for k in range(5))
+    page = f"<body><article><h1>Title</h1><p>{prose}<section id=social-history><h2>Social</h2><p>Guilds and towns.</section><section id='search-results'><p>Two were found.</section><ol>{refs}</ol><section id=related-posts><a href=x>Other posts</a></section><section id=comments><p>I think so.</section></article><ul>{refs}</ul></body>"
+    assert html_text.main_text(page) == f"Title {prose}Social Guilds and towns. Two were found. " + " ".join(f"Reference number {k}" for k in range(5))
