@@ -6,7 +6,9 @@ n - q + 1 - k * q of its q-grams with the text, all on diagonals (place in the
 text less place in the passage) that lie within k of each other. Shared q-grams
 are therefore counted in overlapping bands of 2 (k + 1) diagonals; regions that
 reach the bound are verified by a banded alignment whose ends in the text are
-free. Items of more than PIECE bytes are searched in overlapping pieces.
+free. Items of more than PIECE bytes are searched in overlapping pieces, and
+those of more than PART bytes in such shorter ones too: a part of an item that
+has 3 / 2 * PART - 1 bytes holds one of them. The longest piece found counts.
 
 The benchmark is the stated query set: it is read in blocks of at most
 `block_bytes`, each of which is searched for in all documents.
@@ -34,6 +36,8 @@ Q = 8
 BUDGET = 0.1
 #: Longer items are searched in pieces of this many bytes, one beginning every half of it, so that a part of a passage is found as well.
 PIECE = 160
+#: The same of the shorter pieces.
+PART = 80
 BLOCK_BYTES = 16 << 20
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _BITS = 22
@@ -77,9 +81,11 @@ class Passages:
             p = plain(text)
             if 0 < len(p) < Q:
                 self.short.append((item, p))
-            starts = [0] if len(p) <= PIECE else sorted({*range(0, len(p) - PIECE, PIECE // 2), len(p) - PIECE})
-            for s in starts if len(p) >= Q else []:
-                part = p[s : s + PIECE]
+            starts = [(0, PIECE)] if len(p) <= PIECE else []
+            for size in (PIECE, PART):
+                starts += [(s, size) for s in sorted({*range(0, len(p) - size, size // 2), len(p) - size})] if len(p) > size else []
+            for s, size in starts if len(p) >= Q else []:
+                part = p[s : s + size]
                 k = min(int(budget * len(part)), (len(part) - Q) // Q)  # so that the bound is at least 1
                 self.item.append(item)
                 self.text.append(part)
@@ -138,11 +144,11 @@ class Passages:
             k, text = self.k[p], self.text[p]
             begin = int(band[i]) * (k + 1) - PIECE
             best = out[d].get(self.item[p])
-            if best and best[0] == 0:
+            if best and (best[1] > len(text) or best[1] == len(text) and best[0] == 0):
                 continue
             # an alignment of at most k edits may begin k before its first shared diagonal and end as far behind its last
             e, _ = edits(text, reduced[d][max(0, begin - k) : begin + len(text) + 3 * (k + 1)], k)
-            if e <= k and (best is None or e < best[0]):
+            if e <= k and (best is None or (-len(text), e) < (-best[1], best[0])):
                 out[d][self.item[p]] = (e, len(text))
 
 

@@ -262,6 +262,20 @@ def test_leaks(spark):
     assert decontamination.leaks(df.limit(0), bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_parts_of_items_leak():
+    r = random.Random(15)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+    for size in (119, 150, 191, 240, 326, 700):
+        item = letters(size)
+        search = decontamination.Passages([(1, item)]).search
+        for at in {0, (size - 119) // 2, size - 119}:
+            part = item[at : at + 119]
+            assert search([letters(90) + part + letters(90)]) == [[(1, 0, 80 if size > 119 else 119)]]
+        assert search([letters(90) + item + letters(90)]) == [[(1, 0, min(size, 160))]] and search([letters(900)]) == [[]]
+    item = letters(120)  # edits in the middle of an item that no shorter piece may have
+    assert decontamination.Passages([(1, item)]).search([item[:54] + item[66:]]) == [[(1, 12, 120)]]
+
+
 def test_banded_alignment_is_edit_distance():
     r = random.Random(11)
 
