@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .near_dups import PART, WHOLE, WIDTH
-from .quality_rules import EXACT, GAMMA, RULES
+from .quality_rules import AT_MOST, EXACT, GAMMA, LOWER, LOWER_OF, RULES, SURELY, UPPER, UPPER_OF, fence_sql, rate_sql
 from .secret_scan import BASE, MORE
 from .shared import WORD
 
@@ -42,17 +42,15 @@ def secrets() -> str:
 
 def quality() -> str:
     """Counts by lists, sketches by GROUP BY, fences by running sums."""
-    per = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "stutter_rate": ("n_stutters", "n_words"), "shout_rate": ("n_shouts", "n_words"), "capital_rate": ("n_capitals", "n_letters"), "length_rate": ("word_chars", "n_words")}
     only = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
-    rates = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rule, 1000 * {a} // greatest({b}, 1) AS v FROM c" for k, (a, b) in per.items())
+    rate = lambda k, count="{}": rate_sql(k, count, "", "//")
+    rates = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rule, {rate(k)} AS v, {rate(k, SURELY)} AS least_v, {rate(k, AT_MOST)} AS most_v FROM c" for k in RULES)
     middle = lambda b: f"CASE WHEN {b} < {EXACT} THEN CAST({b} AS DOUBLE) ELSE exp(({b} - 1000 + 0.5) * ln({GAMMA})) END"
-    spread = "CASE rule " + " ".join(f"WHEN '{k}' THEN {s}" for k, (s, _) in RULES.items()) + " END"
-    least = "CASE rule " + " ".join(f"WHEN '{k}' THEN {m}" for k, (_, m) in RULES.items()) + " END"
 
-    def fences(keys: str, of: str) -> str:
+    def quantiles(keys: str, of: str) -> str:
         run = f"SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM {of}"
-        q = f"SELECT {keys}, max(total) AS total, min(CASE WHEN upto * 2 >= total THEN bucket END) AS b50, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS b75 FROM ({run}) x GROUP BY {keys}"
-        return f"SELECT {keys}, total, {middle('b50')} + greatest({least}, {spread} * ({middle('b75')} - {middle('b50')})) AS fence FROM ({q}) y"
+        q = f"SELECT {keys}, max(total) AS total, " + ", ".join(f"min(CASE WHEN upto * 10 >= total * {k} THEN bucket END) AS b{k}" for k in (1, 5, 9)) + f" FROM ({run}) x GROUP BY {keys}"
+        return f"SELECT {keys}, CAST(total AS DOUBLE) AS rows, " + ", ".join(f"ln(1 + {middle(f'b{k}')}) AS {name}" for k, name in ((1, "low"), (5, "mid"), (9, "high"))) + f" FROM ({q}) y"
 
     return (
         f"WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents), "
@@ -63,9 +61,9 @@ def quality() -> str:
         f"c AS (SELECT d.doc_id, lang, source, len(w) AS n_words, coalesce(CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT), 0) AS word_chars, {only('#*$%&|<>')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines, "
         f"len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS n_stutters, {only('!')} AS n_shouts, {only('A-Z')} AS n_capitals, {only('A-Za-z')} AS n_letters FROM d JOIN lines USING (doc_id) LEFT JOIN covered ON covered.doc_id = d.doc_id), "
         f"v AS ({rates}), s AS (SELECT lang, source, rule, CASE WHEN v < {EXACT} THEN v ELSE CAST(floor(ln(v) / ln({GAMMA})) AS BIGINT) + 1000 END AS bucket, count(*) AS n FROM v WHERE doc_id IN (SELECT doc_id FROM c WHERE n_words > 0) GROUP BY ALL), "
-        f"every AS (SELECT rule, bucket, sum(n) AS n FROM s GROUP BY rule, bucket), own AS ({fences('lang, source, rule', 's')}), merged AS ({fences('rule', 'every')}), "
-        "f AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.total < 50 THEN merged.fence ELSE own.fence END AS fence FROM own JOIN merged USING (rule)), "
-        "exceeded AS (SELECT v.doc_id, bool_or(v.v > f.fence) AS beyond FROM v JOIN f ON f.rule = v.rule AND f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id), "
+        f"every AS (SELECT rule, bucket, sum(n) AS n FROM s GROUP BY rule, bucket), merged AS (SELECT rule, {UPPER} AS m_upper, {LOWER} AS m_lower FROM ({quantiles('rule', 'every')}) z), "
+        f"f AS (SELECT own.*, {fence_sql(UPPER_OF, 1)} AS hi, {fence_sql(LOWER_OF, -1)} AS lo FROM ({quantiles('lang, source, rule', 's')}) own JOIN merged USING (rule)), "
+        "exceeded AS (SELECT v.doc_id, bool_or(v.least_v > f.hi OR v.most_v < f.lo) AS beyond FROM v JOIN f ON f.rule = v.rule AND f.lang IS NOT DISTINCT FROM v.lang AND f.source IS NOT DISTINCT FROM v.source GROUP BY v.doc_id), "
         "b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c) "
         "SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stutters, n_shouts, n_capitals, n_letters, base_failed, NOT base_failed AND NOT coalesce(beyond, FALSE) AS kept FROM b LEFT JOIN exceeded USING (doc_id)"
     )

@@ -3,10 +3,18 @@
 Each text gets counts of words, symbols, lines and repetitions. For every
 language and source a quantile sketch of each rate is kept: the rates fall into
 logarithmic buckets, and a sketch is the count of each bucket, so sketches of
-parts are merged by adding counts, in any order, with the same result. The
-fences are read off the sketches (median plus a multiple of the distance to the
-upper quartile, with a least margin) and joined to the documents. Groups of
-fewer than `least_rows` documents use the merged sketch of all groups.
+parts are merged by adding counts, in any order, with the same result. Fences
+on both sides are read off the sketches, on the logarithm of the rate: the upper
+one stands SPREAD times as far above the 0.9 quantile as that above the median,
+and a bucket's width (the sketch's own error) further; the lower one likewise
+below the 0.1 quantile. A group's fences are drawn towards those of the merged
+sketch of all groups as if PRIOR documents more had the latter. Where the upper
+tail of a group is longer than all others' and its lower tail doesn't bear that
+out, as when a tenth of a source is junk, the merged fence holds.
+
+The fences are joined to the documents. A document is rejected if a rate lies
+beyond a fence by more than two standard deviations of a count of its size, so
+that chance in a short text doesn't count.
 
 Defined results: null and empty texts have no words and fail the base rules;
 a null language or source is a group of its own; repeated rows each count and
@@ -25,14 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LEAD, arrow_map, blocks, small_side, utf8, windows, words, written
+from .shared import LEAD, arrow_map, blocks, carries, small_side, utf8, windows, words, written
 
 #: The relative width of a bucket of the sketches.
 GAMMA = 1.05
 #: Rates below this have a bucket each.
 EXACT = 32
-#: Rate: per how many words (or lines, or letters) it is counted, the factor of the spread, and the least margin over the median.
-RULES = {"symbol_rate": (4.0, 250), "dup_line_rate": (4.0, 500), "repeat_rate": (4.0, 200), "stutter_rate": (4.0, 150), "shout_rate": (4.0, 250), "capital_rate": (4.0, 400), "length_rate": (6.0, 6000)}
+#: Rate: what is counted, and for a thousand of what.
+RULES = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "stutter_rate": ("n_stutters", "n_words"), "shout_rate": ("n_shouts", "n_words"), "capital_rate": ("n_capitals", "n_letters"), "length_rate": ("word_chars", "n_words")}
+#: How far a fence stands from a quantile, in distances of the quantile to the median; the same for all rules.
+SPREAD = 2.5
+#: The documents with the merged fence that each group is given.
+PRIOR = 10
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutters", "n_shouts", "n_capitals", "n_letters"]
 
 
@@ -109,13 +121,14 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True)
     return arrow_map(docs, make, ", ".join(fields))
 
 
-def rates() -> dict[str, Column]:
-    """The rate of each rule, in thousandths, from the columns of with_counts."""
+def rate_sql(rule: str, count: str = "{}", prefix: str = "_op_q_", div: str = "div") -> str:
+    """The rate of a rule, in thousandths, from the columns of with_counts; count: an expression over the count."""
+    part, whole = (prefix + c for c in RULES[rule])
+    return f"1000 * ({count.format(part)}) {div} greatest({whole}, 1)"
 
-    def per(part: str, whole: str) -> Column:
-        return F.expr(f"1000 * _op_q_{part} div greatest(_op_q_{whole}, 1)")
 
-    return {"symbol_rate": per("n_symbols", "n_words"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"), "stutter_rate": per("n_stutters", "n_words"), "shout_rate": per("n_shouts", "n_words"), "capital_rate": per("n_capitals", "n_letters"), "length_rate": per("word_chars", "n_words")}
+#: What a count surely is at least and at most: two standard deviations of a count of its size off.
+SURELY, AT_MOST = "greatest({0} - CAST(ceil(2 * sqrt({0})) AS BIGINT), 0)", "{0} + CAST(ceil(2 * sqrt({0})) AS BIGINT) + 1"
 
 
 def bucket(rate: Column) -> Column:
@@ -129,28 +142,38 @@ def middle(at: Column) -> Column:
 
 def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
     """(by..., rule, bucket, n): the sketch of each group and rule. Sketches of parts are merged by summing n."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("rule"), bucket(v).alias("bucket")) for k, v in rates().items()))
+    pairs = F.array(*(F.struct(F.lit(k).alias("rule"), bucket(v).alias("bucket")) for k, v in ((k, F.expr(rate_sql(k))) for k in RULES)))
     return counted.where("_op_q_n_words > 0").select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.rule", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """The highest accepted rate of each group and rule."""
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., rule, rows, low, mid, high): the logarithms of one more than the 0.1, 0.5 and 0.9 quantiles of each group and rule."""
     keys = [*by, "rule"]
-    run = Window.partitionBy(*keys).orderBy("bucket")
-    every = Window.partitionBy(*keys)
-    at = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("rows", F.sum("n").over(every))
-    q = at.groupBy(*keys).agg(F.max("rows").alias("rows"), F.min(F.when(F.col("upto") * 2 >= F.col("rows"), F.col("bucket"))).alias("b50"), F.min(F.when(F.col("upto") * 4 >= F.col("rows") * 3, F.col("bucket"))).alias("b75"))
-    rule = F.create_map(*(x for k, (spread, least) in RULES.items() for x in (F.lit(k), F.struct(F.lit(float(spread)).alias("spread"), F.lit(float(least)).alias("least")))))[F.col("rule")]
-    return q.select(*keys, "rows", (middle(F.col("b50")) + F.greatest(rule["least"], rule["spread"] * (middle(F.col("b75")) - middle(F.col("b50"))))).alias("fence"))
+    run = Window.partitionBy(*keys).orderBy("bucket")  # a row for each bucket, some 300 for a rule
+    at = sketch.withColumn("upto", F.sum("n").over(run)).withColumn("rows", F.sum("n").over(Window.partitionBy(*keys)))
+    tenth = lambda k: F.log(1 + middle(F.min(F.when(F.col("upto") * 10 >= F.col("rows") * k, F.col("bucket")))))
+    return at.groupBy(*keys).agg(F.max("rows").alias("rows"), tenth(1).alias("low"), tenth(5).alias("mid"), tenth(9).alias("high"))
 
 
-def thresholds(counted: DataFrame, by: list[str], least_rows: int = 50) -> DataFrame:
-    """One row for each group (null-safe keys g_0, g_1, ...) with a column for each rule's fence."""
+#: The fences of a group by its own sketch, and with what the merged sketch says (m_upper, m_lower), as SQL over the columns of _quantiles.
+UPPER, LOWER = f"high + {SPREAD} * (high - mid)", f"low - {SPREAD} * (mid - low)"
+UPPER_OF = f"least((rows * ({UPPER}) + {PRIOR} * m_upper) / (rows + {PRIOR}), greatest(m_upper, mid + {SPREAD} * (mid - low)))"
+LOWER_OF = f"(rows * ({LOWER}) + {PRIOR} * m_lower) / (rows + {PRIOR})"
+
+
+def fence_sql(of: str, side: int) -> str:
+    """The rate of a fence, between thousandths, which no rate hits; side: 1 upper, -1 lower."""
+    return f"round(exp({of} + {side} * ln({GAMMA})) - 1, 3) + {side} * 0.0005"
+
+
+def thresholds(counted: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group (null-safe keys _op_g_0, _op_g_1, ...) with the fences _op_hi_<rule> and _op_lo_<rule>."""
     sketch = written(sketches(counted, by))
-    merged = fences(sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n")), []).select("rule", F.col("fence").alias("of_all"))
-    own = fences(sketch, by).join(F.broadcast(merged), "rule")  # a row for each rule: at most len(RULES)
-    fence = F.when(F.col("rows") < least_rows, F.col("of_all")).otherwise(F.col("fence"))
-    return own.groupBy(*by).agg(*(F.max(F.when(F.col("rule") == k, fence)).alias(f"_op_f_{k}") for k in RULES)).select(*(F.col(c).alias(f"_op_g_{k}") for k, c in enumerate(by)), *(f"_op_f_{k}" for k in RULES))
+    merged = _quantiles(sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n")), []).select("rule", F.expr(UPPER).alias("m_upper"), F.expr(LOWER).alias("m_lower"))
+    own = _quantiles(sketch, by).join(F.broadcast(merged), "rule")  # a row for each rule: at most len(RULES)
+    sides = own.select(*by, "rule", F.expr(fence_sql(UPPER_OF, 1)).alias("hi"), F.expr(fence_sql(LOWER_OF, -1)).alias("lo"))
+    each = (F.max(F.when(F.col("rule") == k, F.col(s))).alias(f"_op_{s}_{k}") for k in RULES for s in ("hi", "lo"))
+    return sides.groupBy(*by).agg(*each).select(*(F.col(c).alias(f"_op_g_{k}") for k, c in enumerate(by)), *(f"_op_{s}_{k}" for k in RULES for s in ("hi", "lo")))
 
 
 def judged(counted: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
@@ -159,10 +182,8 @@ def judged(counted: DataFrame, limits: DataFrame, by: list[str]) -> DataFrame:
     match = F.lit(True)
     for k, c in enumerate(by):
         match = match & counted[c].eqNullSafe(limits[f"_op_g_{k}"])
-    over = F.lit(False)
-    for k, rate in rates().items():
-        over = over | (rate > F.coalesce(F.col(f"_op_f_{k}"), F.lit(float("inf"))))
-    return counted.join(limits, match, "left").withColumn("_op_base_failed", base).withColumn("_op_kept", ~base & ~over).drop(*limits.columns)
+    beyond = " OR ".join(f"{rate_sql(k, SURELY)} > _op_hi_{k} OR {rate_sql(k, AT_MOST)} < _op_lo_{k}" for k in RULES)
+    return counted.join(limits, match, "left").withColumn("_op_base_failed", base).withColumn("_op_kept", ~base & ~F.coalesce(F.expr(beyond), F.lit(False))).drop(*limits.columns)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -172,6 +193,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select(id_col, *(F.col(f"_op_q_{c}").alias(c) for c in COUNTS), F.col("_op_base_failed").alias("base_failed"), F.col("_op_kept").alias("kept"))
 
 
+@carries
 def filtered(docs: DataFrame, text_col: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """The rows of docs that are kept, with their columns: one pass for the sketches and one for the verdicts, no shuffle of texts."""
     limits = small_side(thresholds(written(with_counts(docs.select(*by, text_col), text_col, keep_text=False)), list(by)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,21 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def carries(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that carry all columns of their first table: columns that begin with _op_, as helpers do, have other names meanwhile."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        other = {c: f"carried_{k}_{uuid.uuid4().hex}" for k, c in enumerate(docs.columns) if c.lower().startswith("_op_")}
+        if not other:
+            return f(docs, *args, **more)
+        named = lambda x: other.get(x, x) if isinstance(x, str) else x
+        out = f(docs.withColumnsRenamed(other), *map(named, args), **{k: named(v) for k, v in more.items()})
+        return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a string column as bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -63,23 +80,12 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-_PRIME, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LEAD = np.ones(256, bool)
 LEAD[0x80:0xC0] = False  # the bytes that don't start a code point
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, BLOCK_BYTES + 4096)
-        for k, base in enumerate((_PRIME, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Longer runs of bytes than this are hashed one at a time.
+_LONG = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,28 +98,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def hashed(joined: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its stop.
+
+    Eight bytes at a time are mixed in by a bijection of 64 bits, so that two runs
+    share a hash by chance only (2^-64 a pair), however regular they are, and runs
+    of one length up to eight bytes never do. Long runs go through blake2b.
+    """
+    eight = np.ndarray((len(joined) + 1,), "<u8", np.concatenate((joined, np.zeros(8, np.uint8))).data, 0, (1,))
+    size = stop - start
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(left):
+        rest = np.minimum(size[left] - at, 8).astype(np.uint64)
+        part = eight[start[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        out[left] = mix((out[left] + np.uint64(at)) ^ part)
+        at += 8
+        left = left[size[left] > at]
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = int.from_bytes(blake2b(joined[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For texts together: the hash, start and end byte of each word, the first word of each text (and the end), and all bytes."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = powers(len(joined) + 1)
-    sums = np.empty(len(joined) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[joined] * up[: len(joined)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start])
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     first = np.searchsorted(start, np.concatenate(([0], np.cumsum(size))))
-    return hashes, start, end, first, joined
-
-
-def digests(joined: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to its stop."""
-    up, down = powers(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTE[joined] * up[: len(joined)], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    return hashed(joined, start, end), start, end, first, joined
 
 
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]

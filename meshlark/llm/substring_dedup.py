@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import LEAD, arrow_map, blocks, digests, utf8, windows, words, written
+from .shared import LEAD, arrow_map, blocks, hashed, utf8, windows, words, written
 
 WINDOW, MEAN = 16, 24
 #: Words of a passage that is never missed, and of the parts compared where it has too few ends; GRAM words have 65 characters at least.
@@ -76,7 +76,7 @@ def chunks(texts: list[bytes], found: tuple[np.ndarray, ...] | None = None) -> t
     start = np.concatenate(([0], stop[:-1])) if len(stop) else stop
     text = np.searchsorted(bounds, start, "right") - 1
     lead = np.concatenate(([0], np.cumsum(LEAD[joined])))
-    return text, lead[start] - lead[bounds[text]], lead[stop] - lead[bounds[text]], digests(joined, start, stop)
+    return text, lead[start] - lead[bounds[text]], lead[stop] - lead[bounds[text]], hashed(joined, start, stop)
 
 
 def grams(texts: list[bytes], least_chars: int = LEAST_CHARS, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlark.llm import components, decontamination, mixing, near_dups, secret_scan, substring_dedup
+from meshlark.llm import components, decontamination, mixing, near_dups, quality_rules, secret_scan, substring_dedup
 from meshlark.llm.shared import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,6 +164,17 @@ def test_word_hashes_tell_words_apart():
     assert len(set(h[: len(v)].tolist())) == len(v) and (h[: len(v)] == h[len(v) : 2 * len(v)][::-1]).all() and np.diff(first).tolist() == [len(v), len(v), 0, 1]
 
 
+def test_regular_words_are_told_apart(spark):
+    thue_morse = lambda n: "".join("ab"[k.bit_count() & 1] for k in range(n))
+    turned = str.maketrans("ab", "ba")
+    v = [w for n in (8, 16, 128, 129, 1024, 2048, 4096, 8192) for w in (thue_morse(n), thue_morse(n).translate(turned))]
+    assert len(set(words([w.encode() for w in v])[0].tolist())) == len(v)
+    got = near_dups.near_duplicates(table(spark, [(k, w, "s") for k, w in enumerate(v)])).collect()
+    assert all(x.component_id == x.doc_id and x.n_shingles == 1 for x in got)
+    (x,) = quality_rules.quality_report(spark.createDataFrame([(1, "en", "s", f"a b {v[8]} c d a b {v[9]} c d")], "doc_id long, lang string, source string, text string")).collect()
+    assert x.n_repeat_words == 0
+
+
 def test_repeated_passages(spark):
     r = random.Random(8)
     v = vocabulary(r)
