@@ -4,9 +4,9 @@ Texts are reduced to their letters and digits, A-Z lower-cased. A benchmark
 passage of n bytes that occurs with at most k = budget * n edits shares at least
 n - q + 1 - k * q of its q-grams with the text, all on diagonals (place in the
 text less place in the passage) that lie within k of each other. Shared q-grams
-are therefore counted in overlapping bands of 2 (k + 1) diagonals; regions that
-reach the bound are verified by a banded alignment whose ends in the text are
-free. Items of more than PIECE bytes are searched in overlapping pieces, and
+are therefore counted in overlapping bands of 2 (k + 1) diagonals, a bounded
+number of pairs of places at a time; bands that reach the bound are verified by
+an alignment of the diagonals around them, whose ends in the text are free. Items of more than PIECE bytes are searched in overlapping pieces, and
 those of more than PART bytes in such shorter ones too: a part of an item that
 has 3 / 2 * PART - 1 bytes holds one of them. The longest piece found counts.
 
@@ -22,14 +22,16 @@ empty result; other columns are not read, or carried by `clean`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, blocks, utf8
+from .shared import arrow_map, blocks, carries, utf8, written
 
 Q = 8
 #: Edits that a passage may have, as a share of its bytes.
@@ -38,7 +40,12 @@ BUDGET = 0.1
 PIECE = 160
 #: The same of the shorter pieces.
 PART = 80
-BLOCK_BYTES = 16 << 20
+#: Bytes of items that are searched for at once; a worker's index takes some 100 times as many.
+BLOCK_BYTES = 2 << 20
+#: NULs between texts, so that no band holds diagonals of two.
+GAP = 2 * PIECE
+#: Places looked up, and pairs of places counted, at once.
+PLACES, PAIRS = 1 << 20, 1 << 20
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _BITS = 22
 
@@ -53,51 +60,59 @@ def _grams(joined: bytes) -> np.ndarray:
     return np.ndarray((max(len(joined) - Q + 1, 0),), "<u8", joined, 0, (1,)).copy()
 
 
-def edits(passage: bytes, region: bytes, most: int) -> tuple[int, int]:
-    """The least edits that turn the passage into a part of the region, if at most `most` (else most + 1), and where that part ends."""
+def edits(passage: bytes, region: bytes, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int]:
+    """The least edits that turn the passage into a part of the region, if at most `most` (else most + 1), and where that part ends.
+
+    Only diagonals (place in the region less place in the passage) from low to
+    high are followed; by default all that an alignment of so few edits can take.
+    """
     if (at := region.find(passage)) >= 0:
         return 0, at + len(passage)
-    text = np.frombuffer(region, np.uint8)
-    steps = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+    low = -most if low is None else low
+    high = max(len(region) if high is None else high, low)
+    steps = np.arange(high - low + 1)
+    # beyond the region's ends nothing matches, which costs as much as leaving a byte out
+    text = np.full(len(passage) + len(steps), -1, np.int16)
+    first, inside = max(low, 0), np.frombuffer(region, np.uint8)
+    inside = inside[first : len(text) + low]
+    text[first - low : first - low + len(inside)] = inside
+    row = np.zeros(len(steps), np.int64)
     for k, c in enumerate(passage):
-        new = np.empty_like(row)
-        new[0] = k + 1
-        np.minimum(row[1:] + 1, row[:-1] + (text != c), out=new[1:])
+        new = row + (text[k : k + len(steps)] != c)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - steps) + steps
         if row.min() > most:
             return most + 1, 0
     at = int(row.argmin())
-    return int(row[at]), at
+    return int(row[at]), min(max(len(passage) + low + at, 0), len(region))
 
 
 class Passages:
     """The q-grams of benchmark passages with their places."""
 
     def __init__(self, items: list[tuple[int, bytes]], budget: float = BUDGET) -> None:
-        self.item, self.text, self.k, self.bound = [], [], [], []
-        self.short: list[tuple[int, bytes]] = []
+        self.item, self.text, k, bound = [], [], [], []
+        short: dict[int, dict[int, list[int]]] = {}
         for item, text in items:
             p = plain(text)
             if 0 < len(p) < Q:
-                self.short.append((item, p))
+                short.setdefault(len(p), {}).setdefault(int.from_bytes(p, "little"), []).append(item)
             starts = [(0, PIECE)] if len(p) <= PIECE else []
             for size in (PIECE, PART):
                 starts += [(s, size) for s in sorted({*range(0, len(p) - size, size // 2), len(p) - size})] if len(p) > size else []
             for s, size in starts if len(p) >= Q else []:
                 part = p[s : s + size]
-                k = min(int(budget * len(part)), (len(part) - Q) // Q)  # so that the bound is at least 1
+                k.append(min(int(budget * len(part)), (len(part) - Q) // Q))  # so that the bound is at least 1
+                bound.append(len(part) - Q + 1 - k[-1] * Q)
                 self.item.append(item)
                 self.text.append(part)
-                self.k.append(k)
-                self.bound.append(len(part) - Q + 1 - k * Q)
-        self.ks, self.bounds, self.sizes = np.array(self.k, np.int64), np.array(self.bound, np.int64), np.array([len(t) for t in self.text], np.int64)
+        self.short = [(size, np.array(sorted(of), np.uint64), [of[x] for x in sorted(of)]) for size, of in sorted(short.items())]
+        self.ks, self.bounds, self.sizes = np.array(k, np.int64), np.array(bound, np.int64), np.array([len(t) for t in self.text], np.int64)
         grams = [_grams(t) for t in self.text]
         every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        passage = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(every, kind="stable")
-        self.passage, self.place = passage[order], place[order]
+        self.passage = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order]
+        self.place = (np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32))[order]
         self.grams, first = np.unique(every[order], return_index=True)
         self.first = np.append(first, len(every))
         self.maybe = np.zeros(1 << _BITS, bool)
@@ -111,43 +126,68 @@ class Passages:
         """For each text the items found in it: (item, edits, bytes of the passage)."""
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         reduced = [plain(t) for t in texts]
-        for item, p in self.short:
-            for k, t in enumerate(reduced):
-                if p in t:
-                    out[k][item] = (0, len(p))
-        joined = b"\0".join(reduced)
-        grams = _grams(joined)
-        if len(grams) and len(self.grams):
+        joined = (b"\0" * GAP).join(reduced) + b"\0" * Q
+        starts = np.cumsum([0, *(len(t) + GAP for t in reduced[:-1])])
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # bands that more places may lie in, and their counts so far
+        for a in range(0, len(joined) - Q + 1, PLACES):
+            grams = _grams(joined[a : a + PLACES + Q - 1])
+            for size, keys, items in self.short:
+                low = grams & np.uint64((1 << 8 * size) - 1)
+                found = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+                at = np.flatnonzero(keys[found] == low)
+                doc = np.searchsorted(starts, a + at, "right") - 1
+                for d, x in {*zip(doc.tolist(), found[at].tolist(), strict=True)}:
+                    out[d].update(dict.fromkeys(items[x], (0, size)))
+            if not len(self.grams):
+                continue
             at = np.flatnonzero(self.maybe[self._slot(grams)])
-            found = np.searchsorted(self.grams, grams[at])
-            found[found == len(self.grams)] = 0
+            found = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
             right = self.grams[found] == grams[at]
-            self._regions(at[right], found[right], reduced, out)
+            at, found = at[right] + a, found[right]
+            upto = np.cumsum(self.first[found + 1] - self.first[found])
+            x = 0
+            while x < len(at):  # one place at least, whose pairs are the places of one q-gram in the block of items
+                y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PAIRS)))
+                held = self._counted(held, at[x:y], found[x:y])
+                keys, shared = held
+                passage, begin = self._of(keys)
+                done = begin + 2 * (self.ks[passage] + 1) + self.sizes[passage] < at[y - 1]
+                self._verified(keys[done], shared[done], joined, starts, reduced, out)
+                held = keys[~done], shared[~done]
+                x = y
+        self._verified(*held, joined, starts, reduced, out)
         return [[(i, e, n) for i, (e, n) in sorted(hits.items())] for hits in out]
 
-    def _regions(self, at: np.ndarray, gram: np.ndarray, reduced: list[bytes], out: list[dict[int, tuple[int, int]]]) -> None:
-        starts = np.cumsum([0, *(len(t) + 1 for t in reduced)])
+    def _of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passage of a band, and its first diagonal."""
+        passage = keys >> 32
+        return passage, ((keys & 0xFFFFFFFF) - 1) * (self.ks[passage] + 1) - PIECE
+
+    def _counted(self, held: tuple[np.ndarray, np.ndarray], at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bands held, and those of the q-grams at these places of the joined texts, with the number of places in each."""
         count = self.first[gram + 1] - self.first[gram]
         which = np.repeat(self.first[gram] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
-        place = np.repeat(at, count)
-        passage = self.passage[which]
-        doc = np.searchsorted(starts, place, "right") - 1
-        diagonal = place - starts[doc] - self.place[which]
-        band = (diagonal + PIECE) // (self.ks[passage] + 1)
-        key = (doc * len(self.text) + passage) << 24 | band
-        both = np.concatenate((key, key - 1))  # each diagonal lies in two overlapping bands
-        keys, shared = np.unique(both, return_counts=True)
-        pair, band = keys >> 24, keys & ((1 << 24) - 1)
-        doc, passage = pair // len(self.text), pair % len(self.text)
+        passage = self.passage[which].astype(np.int64)
+        band = (np.repeat(at, count) - self.place[which] + PIECE) // (self.ks[passage] + 1) + 1
+        key = passage << 32 | band
+        both, more = np.unique(np.concatenate((key, key - 1)), return_counts=True)  # each diagonal lies in two overlapping bands
+        keys, place = np.unique(np.concatenate((held[0], both)), return_inverse=True)
+        return keys, np.bincount(place, np.concatenate((held[1], more)), len(keys)).astype(np.int64)
+
+    def _verified(self, keys: np.ndarray, shared: np.ndarray, joined: bytes, starts: np.ndarray, reduced: list[bytes], out: list[dict[int, tuple[int, int]]]) -> None:
+        """Aligns the passages of the bands that reach the bound."""
+        passage, begin = self._of(keys)
         for i in np.flatnonzero(shared >= self.bounds[passage]):
-            p, d = int(passage[i]), int(doc[i])
-            k, text = self.k[p], self.text[p]
-            begin = int(band[i]) * (k + 1) - PIECE
+            p, at = int(passage[i]), int(begin[i])
+            k, text = int(self.ks[p]), self.text[p]
+            d = int(np.searchsorted(starts, at + 2 * (k + 1) + PIECE, "right")) - 1
             best = out[d].get(self.item[p])
             if best and (best[1] > len(text) or best[1] == len(text) and best[0] == 0):
                 continue
-            # an alignment of at most k edits may begin k before its first shared diagonal and end as far behind its last
-            e, _ = edits(text, reduced[d][max(0, begin - k) : begin + len(text) + 3 * (k + 1)], k)
+            # an alignment of at most k edits leaves the band by k diagonals at most
+            left = max(at - k, int(starts[d]))
+            region = joined[left : min(at + len(text) + 3 * (k + 1), int(starts[d]) + len(reduced[d]))]
+            e, _ = edits(text, region, k, at - k - left, at - k - left + 4 * (k + 1))
             if e <= k and (best is None or (-len(text), e) < (-best[1], best[0])):
                 out[d][self.item[p]] = (e, len(text))
 
@@ -166,15 +206,16 @@ def _blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -
         yield block
 
 
-def _searched(docs: DataFrame, columns: list[str], text_col: str, items: list[tuple[int, bytes]], budget: float) -> DataFrame:
+def _searched(docs: DataFrame, columns: list[str], text_col: str, sent: Broadcast, budget: float) -> DataFrame:
     """The columns of docs and _op_matches, an array of (item_id, edits, passage_bytes)."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # a block, of at most block_bytes and an item
     at = docs.columns.index(text_col)
     kept = [docs.columns.index(c) for c in columns]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("passage_bytes", pa.int64())]))
 
     def make():
-        passages = Passages(sent.value, budget)
+        if not hasattr(sent, "passages"):  # one index for all tasks of a worker
+            sent.passages = Passages(sent.value, budget)
+        passages = sent.passages
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = utf8(batch.column(at))
@@ -189,18 +230,38 @@ def _searched(docs: DataFrame, columns: list[str], text_col: str, items: list[tu
     return arrow_map(docs, make, f"{fields}, _op_matches array<struct<item_id: long, edits: long, passage_bytes: long>>")
 
 
+def _by_block(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int, step: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """step(block) for each block of items. Of several blocks each result is written before the next one is read, so that one block is held at a time."""
+    found = _blocks_of(benchmark, item_col, item_text, block_bytes)
+    block = next(found, [])
+    while block is not None:
+        after = next(found, None)
+        sent = benchmark.sparkSession.sparkContext.broadcast(block)  # at most block_bytes and an item
+        out = step(sent)
+        if after is None:  # the last one stays lazy
+            yield out
+        else:
+            yield written(out)
+            sent.destroy()
+        block = after
+
+
+@carries
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, edits, passage_bytes): a row for each document and item found in it."""
     rows = docs.select(id_col, text_col)
-    parts = [_searched(rows, [id_col], text_col, block, budget) for block in _blocks_of(benchmark, item_col, item_text, block_bytes)] or [_searched(rows.limit(0), [id_col], text_col, [], budget)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(id_col, F.explode("_op_matches").alias("m")).select(id_col, "m.*")
+    parts = _by_block(benchmark, item_col, item_text, block_bytes, lambda sent: _searched(rows, [id_col], text_col, sent, budget).select(id_col, F.explode("_op_matches").alias("m")).select(id_col, "m.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
+@carries
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no item is found, with their columns; no shuffle."""
-    for block in _blocks_of(benchmark, item_col, item_text, block_bytes):
-        docs = _searched(docs, docs.columns, text_col, block, budget).where("size(_op_matches) = 0").drop("_op_matches")
-    return docs
+    held = [docs]
+
+    def step(sent: Broadcast) -> DataFrame:
+        return _searched(held[0], docs.columns, text_col, sent, budget).where("size(_op_matches) = 0").drop("_op_matches")
+
+    for out in _by_block(benchmark, item_col, item_text, block_bytes, step):
+        held[0] = out
+    return held[0]

@@ -268,11 +268,25 @@ def test_leaks(spark):
     assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want) + 1
     in_blocks = decontamination.leaks(df, bench, block_bytes=700).collect()
     assert sorted(map(tuple, in_blocks)) == sorted(map(tuple, got))
+    blocked = decontamination.clean(df.withColumn("_op_matches", F.lit(3)), bench, block_bytes=2000)
+    assert blocked.columns == [*df.columns, "_op_matches"] and {x.doc_id for x in blocked.collect()} == {i for i, _, _ in rows} - {d for d, _ in want}
     clean = decontamination.clean(df, bench)
     assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == {i for i, _, _ in rows} - {d for d, _ in want}
     assert decontamination.leaks(df.limit(0), bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_very_long_and_repetitive_texts_leak():
+    import tracemalloc
+
+    long = np.random.default_rng(3).integers(97, 123, 17_000_000, dtype=np.uint8).tobytes()
+    assert decontamination.Passages([(1, b"qwertyui")]).search([long[:90], long.replace(b"qwertyui", b"") + b"qwertyui"]) == [[], [(1, 0, 8)]]
+    items = [(1, b"a" * 160), (2, b"ab" * 70), (3, b"zz"), (4, b"b" * 7)]
+    tracemalloc.start()
+    found = decontamination.Passages(items).search([b"a" * 300_000, b"ab" * 300, b"a" * 150 + b"c" * 9 + b"b" * 9, b"", b"zz"])
+    assert found == [[(1, 0, 160)], [(2, 0, 140)], [(1, 10, 160), (4, 0, 7)], [], [(3, 0, 2)]] and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_parts_of_items_leak():
     r = random.Random(15)
     letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
