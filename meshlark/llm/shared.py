@@ -85,7 +85,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LEAD = np.ones(256, bool)
 LEAD[0x80:0xC0] = False  # the bytes that don't start a code point
 #: Longer runs of bytes than this are hashed one at a time.
-_LONG = 128
+_LONG = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,8 +98,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed(joined: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to its stop.
+def hashed(joined: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its stop, another one for each seed.
 
     Eight bytes at a time are mixed in by a bijection of 64 bits, so that two runs
     share a hash by chance only (2^-64 a pair), however regular they are, and runs
@@ -107,7 +107,7 @@ def hashed(joined: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
     """
     eight = np.ndarray((len(joined) + 1,), "<u8", np.concatenate((joined, np.zeros(8, np.uint8))).data, 0, (1,))
     size = stop - start
-    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed)
     left = np.flatnonzero((size > 0) & (size <= _LONG))
     at = 0
     while len(left):
@@ -116,8 +116,9 @@ def hashed(joined: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
         out[left] = mix((out[left] + np.uint64(at)) ^ part)
         at += 8
         left = left[size[left] > at]
+    key = seed.tobytes()
     for k in np.flatnonzero(size > _LONG):
-        out[k] = int.from_bytes(blake2b(joined[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(blake2b(joined[start[k] : stop[k]].tobytes(), digest_size=8, key=key).digest(), "little")
     return out
 
 

@@ -180,37 +180,79 @@ def test_repeated_passages(spark):
     v = vocabulary(r)
     prose = lambda n: " ".join(r.choice(v) for _ in range(n))
     passages = [prose(60) for _ in range(12)]
+    line = prose(25)
     rows = []
     for k in range(120):
         p = passages[k % 12] if k < 60 else ""
-        rows.append((k, f"{prose(70)} é {p} {prose(r.randrange(30, 70))}", "s"))
+        rows.append((k, f"{prose(70)} é {p} {prose(r.randrange(30, 70))}\n{line}\n{prose(9)}", "s"))
     rows += [(200, None, "s"), (201, "", "s"), (202, rows[100][1], "s"), (203, "same line again and again\n" * 30, "s"), (204, "x" * 30_000, "s"), (None, rows[0][1], "s"), rows[7]]
     df = table(spark, rows)
     got = substring_dedup.repeats(df).collect()
     texts = {i: t for i, t, _ in rows if i is not None}
-    assert {x.doc_id for x in got} == {*range(12, 60), 202}
+    assert {x.doc_id for x in got} == {*range(60), 100, 202} and {x.doc_id for x in got if not x.kept} == {*range(12, 60), 202}  # a line of 25 words is no passage
+    assert {x.doc_id for x in got if x.kept} >= {*range(12), 100}
     for x in got:
         part = texts[x.doc_id][x.start : x.stop]
-        assert len(part) >= substring_dedup.LEAST_CHARS and x.kept_in < x.doc_id and part in texts[x.kept_in]
+        assert x.n_words >= substring_dedup.LEAST_WORDS and (x.kept_in == x.doc_id if x.kept else x.kept_in < x.doc_id) and part in texts[x.kept_in]
     whole = [x for x in got if x.doc_id == 202]
-    assert [(x.start, x.stop, x.kept_in) for x in whole] == [(0, len(texts[100]), 100)]
+    assert [(x.start, x.stop, x.kept_in, x.n_words) for x in whole] == [(0, len(texts[100]), 100, len(texts[100].split()))]
     cut = {x.doc_id: x.text for x in substring_dedup.cut_out(df).collect()}
     assert cut[202] == "" and cut[100] == texts[100] and cut[200] is None and len(cut[30]) < len(texts[30])
     assert substring_dedup.repeats(df.limit(0)).count() == 0
 
 
+def test_passages_against_all_pairs(spark, monkeypatch):
+    r = random.Random(16)
+    v = vocabulary(r, 300)
+    gap = lambda: r.choice([" "] * 30 + ["\n", "  "])
+    pool = [[r.choice(few) + gap() for _ in range(300)] for few in (v[:2], v[:5], v, v, v, ["a", "no"])]
+    texts = []
+    for _ in range(60):
+        w = []
+        for _ in range(r.randrange(0, 4)):
+            a, src = r.randrange(250), r.choice(pool)
+            w += src[a : a + r.randrange(5, 120)] + [r.choice(v) + gap() for _ in range(r.randrange(0, 30))]
+        texts.append("".join(w))
+    df = table(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    got = substring_dedup.repeats(df).collect()
+    n = substring_dedup.PASSAGE
+    held, places = {}, []
+    for k, t in enumerate(texts):
+        at = [m.span() for m in WORD.finditer(t)]
+        for i in range(len(at) - n + 1):
+            a, b = at[i][0], at[i + n - 1][1]
+            held.setdefault(t[a:b], set()).add(k)
+            places.append((k, a, b, t[a:b]))
+    shared = [p for p in places if len(held[p[3]]) > 1]
+    assert len(shared) > 300
+    for k, a, b, part in shared:  # every repeated passage meets a span, and is cut out of all documents but one
+        meets = [x for x in got if x.doc_id == k and x.start < b and x.stop > a]
+        assert any(not x.kept for x in meets) if k > min(held[part]) else meets
+    for x in got:  # and a span's parts are held by other documents, earlier ones unless it is kept; parts that meet may be of two
+        part, others = texts[x.doc_id][x.start : x.stop], [t for k, t in enumerate(texts) if (k != x.doc_id if x.kept else k < x.doc_id)]
+        assert np.mean([any(part[i : i + 9] in t for t in others) for i in range(0, len(part) - 8, 7)]) > 0.7
+    # hot digests take the way of the broadcast table
+    monkeypatch.setattr(substring_dedup, "HOT", 10**9)
+    monkeypatch.setattr(substring_dedup, "max", lambda a, b: 1, raising=False)
+    assert sorted(map(tuple, substring_dedup.repeats(df).collect())) == sorted(map(tuple, got))
+
+
 def test_chunks_rejoin_and_resist_shifts():
     r = random.Random(9)
-    texts = ["", "é🎉ß" * 300, "a", " ".join(vocabulary(r, 900)), "", "zz" * 400]
+    texts = ["", "é🎉ß" * 3000, "a", " ".join(vocabulary(r, 900)), "", "zz" * 400, "日本" * 5000]
     enc = [t.encode() for t in texts]
-    text, start, stop, digest = substring_dedup.chunks(enc)
+    of = lambda x: substring_dedup.chunks(substring_dedup.Texts(x))
+    text, place, word, one, two = of(enc)
     for k, t in enumerate(texts):
         m = text == k
-        assert "".join(t[a:b] for a, b in zip(start[m], stop[m], strict=True)) == t
-        alone = substring_dedup.chunks([enc[k]]) if t else None
-        assert alone is None or (alone[3] == digest[m]).all()
-    moved = substring_dedup.chunks([("inserted " + texts[3]).encode()])[3]
-    assert np.isin(digest[text == 3], moved).mean() > 0.98
+        assert "".join(t[p >> 32 : p & 0xFFFFFFFF] for p in place[m]) == t
+        assert [w & 0xFFFFFFFF for w in word[m]][-1:] == ([len(t.split())] if t else [])
+        if t:
+            alone = of([enc[k]])
+            assert (alone[3] == one[m]).all() and (alone[4] == two[m]).all()
+    assert np.isin(one[text == 3], of([("inserted " + texts[3]).encode()])[3]).mean() > 0.97
+    for run in (b"0", b"7", b"z", b"ab"):
+        assert len(of([run * 100_000])[0]) <= 60
 
 
 def test_passages_of_few_words_are_found(spark):
@@ -234,9 +276,10 @@ def test_passages_of_few_words_are_found(spark):
 
 
 def test_a_run_of_one_word_gives_few_rows():
-    text, start, stop, digest = substring_dedup.grams([b"", b"word " * 20_000, b"no", b""])
-    assert len(set(digest)) == 1 and set(text) == {1} and len(text) < 1200 and (stop - start >= substring_dedup.LEAST_CHARS).all()
-    assert all(len(x) == 0 for x in substring_dedup.grams([b"", b"a b"]))
+    of = lambda x: substring_dedup.grams(substring_dedup.Texts(x))
+    text, place, _, one, two = of([b"", b"word " * 20_000, b"no", b""])
+    assert len(set(one)) == len(set(two)) == 1 and set(text) == {1} and len(text) < 1200 and ((place & 0xFFFFFFFF) - (place >> 32) >= 64).all()
+    assert all(len(x) == 0 for x in of([b"", b"a b"]))
 
 
 def test_leaks(spark):
