@@ -104,6 +104,18 @@ def test_secrets(spark):
     assert secret_scan.redacted(docs(spark)).columns == docs(spark).columns
 
 
+def test_a_stored_index_gives_the_same_spans(spark):
+    d = docs(spark, SECRET_TEXTS).withColumn("_op_c_hex", F.lit(1))
+    rules = secret_scan.BASE + secret_scan.MORE
+    _, trigrams = secret_scan.wanted(rules)
+    index = secret_scan.postings(d, trigrams)
+    alone, by_index = (sorted(map(str, secret_scan.scanned(d, index=x).collect())) for x in (None, index))
+    assert alone == by_index and len(alone) == len(SECRET_TEXTS) + 2
+    assert len(trigrams) < 60 and index.where("trigram >= 0").count() < 20 * len(SECRET_TEXTS)
+    plan = secret_scan.scanned(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
 def test_trigram_queries_hold_for_every_match():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]{24,}") is True and q("ab") is True
@@ -117,7 +129,8 @@ def test_trigram_queries_hold_for_every_match():
         def holds(query, low=text.lower()):
             return query is True or (query in low if isinstance(query, str) else (all if query[0] == "and" else any)(holds(p) for p in query[1:]))
 
-        assert holds(q(pattern))
+        assert holds(q(pattern)) and holds(secret_scan.rarest(q(pattern)))
+    assert secret_scan.rarest(("and", "the", "qzx", "hen", "ken")) == ("and", "qzx", "ken", "hen")
 
 
 PII_TEXTS = [None, "", "a@b.c d@e.f.g_h@i.j", "1.2.3.4.5.6.7.8 999.1.1.1 001.2.3.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 " + "0" * 16, "+1 (234) 555-7890 +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6", "1" * 40_000, "12 " * 12_000, "." * 40_000, "q" * 40_000, "é🎉 x@y.z", "a@b.c " * 500, "a@" + "b." * 20_000 + "c", "call me at (123) 456-7890, ssn 123-45-6789", "part no 123-456-7890x"]
