@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A node is (feature, threshold, left, right), taking left where feature <= threshold; a leaf is a float.
 Node = "tuple | float"
@@ -84,3 +86,10 @@ class Boosted:
             return f"CASE WHEN {names[k]} <= {threshold:.6f} THEN {of(left)} ELSE {of(right)} END"
 
         return " + ".join(f"({of(t)})" for t in self.trees) or "CAST(0 AS DOUBLE)"
+
+
+def sample(labelled: DataFrame, most: int, seed: int) -> tuple[list, list]:
+    """At most `most` rows of a labelled table to train on and as many to calibrate on: those with the least seeded hash of all columns, dealt out in turn."""
+    h = F.xxhash64(F.lit(seed), *labelled.columns)
+    rows = labelled.withColumn("_op_h", h).orderBy("_op_h").limit(2 * most).drop("_op_h").collect()
+    return rows[::2], rows[1::2]
