@@ -4,11 +4,12 @@ Generators of high recall propose spans of several kinds, which may overlap.
 Boosted trees score each proposal by its format (length, digits, groups, check
 digit) and its context (cue words before it, characters it is glued to). Base
 kinds are always redacted; a proposal of another kind is redacted if its score
-reaches the calibrated cut and it doesn't overlap a base span.
+reaches the calibrated cut and it doesn't overlap a base span. Base spans carry their scores as well.
 
-The trees are trained on the driver from SAMPLE labelled spans, which a seeded
-generator makes (formats of personal data and look-alikes: order numbers,
-versions, serials), and calibrated on as many held-out ones.
+`fit` trains the trees on the driver from a table of labelled spans, of which it
+takes at most SAMPLE rows to train on and as many to calibrate on. Without a
+table a shipped sample of as many made-up spans is used: sentences with personal
+data, and with look-alikes (orders, versions, serials, counts, dates).
 
 Defined results: null and empty texts have no spans; each row, repeated ones
 too, gives one row; an empty table gives an empty result; only the id and text
@@ -25,10 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted
-from .spans import found, literal, told
+from .boosting import Boosted, sample
+from .shared import carries
+from .spans import CONTEXT, found, literal, told
 
-#: Labelled spans for training, and as many for calibration (the bound of the sample).
+#: Labelled spans to train on, and as many to calibrate on (the bound of the sample).
 SAMPLE = 4000
 #: Held-out precision at the calibrated cut.
 PRECISION = 0.99
@@ -54,7 +56,7 @@ MORE = (
 )
 KINDS = [g[0] for g in BASE + MORE]
 #: Cue words, matched in the lower-cased context before a span.
-CUES = {"cue_phone": "(tel|phone|call|mobile|fax|whatsapp|reach|contact)", "cue_id": "(ssn|social sec|tax id|national id|passport|insurance)", "cue_bank": "(iban|account|bank|transfer|routing|acct)", "cue_mail": "(mail|write to|contact|reach)", "cue_other": "(order|invoice|isbn|version|build|part no|ref|page|serial|sku|ticket|item|model|batch)"}
+CUES = {"cue_phone": "(tel|phone|call|mobile|fax|whatsapp|reach|contact)", "cue_id": "(ssn|social sec|tax id|national id|passport|insurance)", "cue_bank": "(iban|account|bank|transfer|routing|acct)", "cue_mail": "(mail|write to|contact|reach)", "cue_other": "(order|invoice|isbn|version|build|part|ref|page|serial|sku|ticket|item|model|batch|tracking|lot|code|case)", "cue_count": "(total|population|votes|views|sold|about|over|some|than|of|usd|eur|worth|year|since|room)"}
 FEATURES = ["kind", "chars", "digits", "letters", "gaps", "variety", "luhn", "glued_before", "glued_after", *CUES]
 
 
@@ -86,51 +88,85 @@ def _sql_features(s: str) -> dict[str, str]:
     return {k: as_number(v) for k, v in plain.items()}
 
 
-def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """n labelled proposals from the seeded generator: features and whether they are personal data."""
+#: Words of the shipped sample's sentences.
+_PEOPLE, _PLACES = "anna jonas maria peter wei fatima omar lucia ivan chloe noah sofia liam emma raj mei".split(), "acme northwind lakeside citybank uni clinic bakery studio harbour museum".split()
+_ENDINGS = ["com", "org", "net", "de", "co.uk", "edu", "io"]
+_LEADS = {
+    "email": ["you can write to ", "mail: ", "contact ", "from ", "his address is ", "cc "], "email_masked": ["write to ", "contact ", "mail me: ", "reach us: "], "ip": ["logged in from ", "client ", "address ", "host "], "card": ["paid with card ", "visa ", "charged to ", "account "],
+    "phone": ["call ", "phone: ", "reach me on ", "fax "], "phone_local": ["call ", "tel. ", "phone: ", "mobile ", "contact "], "national_id": ["ssn: ", "social security number ", "tax id ", "insurance no. "], "iban": ["iban ", "transfer to ", "bank account "], "account": ["account ", "account no. ", "bank: ", "transfer to ", "phone ", "passport "],
+}
+_OTHER = ["order ", "invoice no. ", "isbn ", "version ", "build ", "part no. ", "ref. ", "serial ", "sku ", "ticket ", "model ", "tracking ", "lot ", "a total of ", "population ", "more than ", "sold ", "usd ", "since ", "page ", "code ", "case "]
+
+
+def labelled(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
+    """n made-up proposals: kind, text, what stands before and after, and whether it is personal data."""
     r = random.Random(seed)
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    good = {"cue_phone": ["call me at ", "tel: ", "phone ", "my mobile is ", "fax "], "cue_id": ["ssn ", "social security ", "passport no "], "cue_bank": ["iban ", "account ", "bank transfer to "], "cue_mail": ["mail ", "contact ", "write to "], "none": ["", "and then ", "of the ", "thion eraten "]}
-    bad = ["order ", "invoice no ", "isbn ", "version ", "build ", "part no ", "ref ", "serial ", "sku ", "ticket "]
-    rows, right = [], []
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    upper = lambda k: "".join(r.choice("ABCDEFGHKLMNPRSTUVWXYZ") for _ in range(k))
+
+    def luhn(k: int) -> str:
+        body = d(k - 1)
+        return next(body + c for c in "0123456789" if _luhn(body + c))
+
+    made = {
+        "email": lambda y: f"{r.choice(_PEOPLE)}{r.choice(['.', '_', '', '-'])}{r.choice([*_PEOPLE, d(2)])}@{r.choice(_PLACES)}.{r.choice(_ENDINGS)}" if y else f"{r.choice(['git', 'v', 'img', 'no-reply'])}@{r.choice(['2x', '1.0', 'host'])}.{r.choice(['png', 'local', '0'])}",
+        "email_masked": lambda y: f"{r.choice(_PEOPLE)} {r.choice(['(at)', '[at]'])} {r.choice(_PLACES)} {r.choice(['(dot)', '[dot]'])} {r.choice(_ENDINGS[:3])}",
+        "ip": lambda y: ".".join(str(r.randrange(1, 256)) for _ in range(4)) if y else ".".join(str(r.randrange(10)) for _ in range(4)), "card": lambda y: r.choice([luhn(16), " ".join([d(4)] * 4), luhn(19)]) if y else d(16), "phone": lambda y: f"+{r.randrange(1, 99)} {d(3)} {d(r.randrange(4, 8))}",
+        "phone_local": lambda y: r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(r.randrange(200, 999), d(3), d(4)), "national_id": lambda y: f"{d(3)}-{d(2)}-{d(4)}", "iban": lambda y: upper(2) + d(2) + " " + " ".join(d(4) for _ in range(r.randrange(3, 6))) if y else upper(2) + d(2) + "".join(r.choice([upper(4), d(4)]) for _ in range(r.randrange(2, 4))),
+        "account": lambda y: d(r.randrange(8, 13)) if y else r.choice([d(r.randrange(7, 15)), str(r.randrange(19500101, 20301231)), str(r.randrange(1, 99)) + "0" * 6]),
+    }
+    out = []
     for _ in range(n):
-        kind = r.choice(KINDS)
-        yes = r.random() < 0.5
-        fits = {"email": "cue_mail", "email_masked": "cue_mail", "ip": "none", "card": "cue_bank", "phone": "cue_phone", "phone_local": "cue_phone", "national_id": "cue_id", "iban": "cue_bank", "account": "cue_bank"}[kind]
-        certain = kind in ("email", "card", "phone", "ip", "email_masked")
-        m = {
-            "email": lambda: f"u{digits(2)}@mail{digits(1)}.example.com", "email_masked": lambda: f"user{digits(2)} (at) host (dot) com", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": lambda: digits(16), "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
-            "phone_local": lambda: r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4)), "national_id": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "iban": lambda: f"DE{digits(2)} " + " ".join(digits(4) for _ in range(4)) if yes else f"AB{digits(10)}", "account": lambda: digits(r.randrange(8, 13)),
-        }[kind]()
-        before = r.choice(good["none"]) + (r.choice(good[fits]) if yes and (not certain or r.random() < 0.5) else "" if certain and yes else r.choice(bad + good["none"]))
-        rows.append(features(kind, m, before, r.choice([" ", ".", ",", ""]) if yes else r.choice([" ", ".", "", "x", "-"])))
-        right.append(yes)
-    return np.array(rows), np.array(right, float)
+        kind, yes = r.choice(KINDS), r.random() < 0.5
+        lead = r.choice(_LEADS[kind]) if yes and r.random() < 0.9 else r.choice(["", "and ", "the ", "then "]) if yes or r.random() < 0.2 else r.choice(_OTHER)
+        before = " ".join(r.choice([*_PEOPLE, *_PLACES, "we", "was", "with", "later"]) for _ in range(r.randrange(0, 4))) + " " + (lead.capitalize() if r.random() < 0.2 else lead)
+        after = r.choice([" ", ".", ",", ")", "", "\n"]) if yes or r.random() < 0.7 else r.choice(["x", "a", "-", "%", "/", "_"])
+        out.append((kind, made[kind](yes), before[-CONTEXT:], after, int(yes)))
+    return out
+
+
+def _luhn(digits: str) -> bool:
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def trained(train: list[tuple], held: list[tuple], precision: float = PRECISION) -> Boosted:
+    """Trees from labelled spans (kind, text, before, after, label) and the cut at which held-out ones are right this often."""
+    x = lambda rows: np.array([features(*r[:4]) for r in rows], float).reshape(-1, len(FEATURES))
+    y = lambda rows: np.array([r[4] for r in rows], float)
+    return Boosted(FEATURES).fit(x(train), y(train)).calibrate(x(held), y(held), precision)
+
+
+def fit(spans: DataFrame, most: int = SAMPLE, seed: int = 11, precision: float = PRECISION) -> Boosted:
+    """A model from a table (kind, text, before, after, label 1 or 0); at most `most` rows to train on and as many to calibrate on are taken, by a seeded hash. Rows of other kinds, or without a text or label, are left out."""
+    named = spans.select("kind", "text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")), F.col("label").cast("int").alias("label"))
+    return trained(*sample(named.where(F.col("kind").isin(KINDS) & F.col("text").isNotNull() & F.col("label").isNotNull()), most, seed), precision)
 
 
 @lru_cache(1)
-def model() -> Boosted:
-    return Boosted(FEATURES).fit(*labelled(SAMPLE, 11)).calibrate(*labelled(SAMPLE, 12), PRECISION)
+def shipped() -> Boosted:
+    return trained(labelled(SAMPLE, 11), labelled(SAMPLE, 12))
 
 
-def proposed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+@carries
+def proposed(docs: DataFrame, text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """docs with pii_spans (kind, start, stop, text, score, chosen): the proposals of all generators by kind, then start."""
+    model = model or shipped()
     t = f"coalesce(`{text_col}`, '')"
     each = [found(t, p, kind, keep, may.replace("$t", t)) for kind, p, keep, may in BASE + MORE]
     columns = _sql_features("s")
     packed = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in columns.items()) + ")"
-    score = model().sql({k: f"f.{k}" for k in FEATURES})
+    score = model.sql({k: f"f.{k}" for k in FEATURES})
     base = ", ".join(f"'{g[0]}'" for g in BASE)
     scored = f"transform(_op_raw, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', transform(array({packed}), f -> {score})[0]))"
-    chosen = f"transform(_op_scored, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', s.score, 'chosen', s.kind IN ({base}) OR (s.score >= {model().cut:.6f} AND NOT exists(_op_scored, b -> b.kind IN ({base}) AND b.start < s.stop AND s.start < b.stop))))"
+    chosen = f"transform(_op_scored, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop, 'text', s.text, 'score', s.score, 'chosen', s.kind IN ({base}) OR (s.score >= {min(model.cut, 1e9):.6f} AND NOT exists(_op_scored, b -> b.kind IN ({base}) AND b.start < s.stop AND s.start < b.stop))))"
     out = docs.withColumn("_op_raw", F.expr(f"concat({', '.join(each)})")).withColumn("_op_scored", F.expr(scored)).withColumn("pii_spans", F.expr(chosen))
     return out.select(*(c for c in docs.columns if c != "pii_spans"), "pii_spans")
 
 
-def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Boosted | None = None) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
     base = [g[0] for g in BASE]
-    kept = proposed(docs.select(id_col, text_col), text_col).select(id_col, F.expr("filter(pii_spans, s -> s.chosen)").alias("s"))
+    kept = proposed(docs.select(id_col, text_col), text_col, model).select(id_col, F.expr("filter(pii_spans, s -> s.chosen)").alias("s"))
     counts = [F.expr(f"CAST(size(filter(s, x -> x.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in base]
     only = "filter(s, x -> x.kind IN ({}))".format(", ".join(f"'{k}'" for k in base))
     return kept.select(id_col, *counts, F.sha2(F.expr(told(only)), 256).alias("base_sha256"), F.expr(told("s")).alias("spans"))
