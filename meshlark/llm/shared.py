@@ -32,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet below the shared folder and reads it again: later steps survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshlark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

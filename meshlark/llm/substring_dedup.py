@@ -3,7 +3,7 @@
 A gear rolling hash of the last WINDOW bytes marks the ends of chunks wherever
 it falls below a bound and hasn't for LEAST - 1 bytes, so that a run of one
 letter ends once; ends depend on nearby bytes only, so an insertion shifts no
-later chunk. Chunks average some 40 bytes and are cut at MOST. They are compared
+later chunk. Chunks average some 70 bytes and are cut at MOST. They are compared
 by digests of 96 bits. The first document that holds a digest keeps it;
 consecutive chunks of a document that are kept by others form a repeated
 passage, which counts from `least_words` words on. Shared passages some chunk of
@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 from .shared import LEAD, arrow_map, blocks, carries, hashed, mix, utf8, words, written
 
 #: Bytes that the hash sees, one place in how many ends a chunk by it alone, bytes without such a place before an end, and the longest chunk.
-WINDOW, ONE_IN, LEAST, MOST = 16, 32, 8, 4096
+WINDOW, ONE_IN, LEAST, MOST = 16, 64, 8, 4096
 #: Words of a passage that is never missed, and that a repeated passage counts from.
 PASSAGE, LEAST_WORDS = 51, 33
 #: A digest is hot above one row in so many (and 10,000 rows); there are at most as many of them.
@@ -177,16 +177,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     parts = lambda c, a, b: (F.shiftright(c, 32).alias(a), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).alias(b))
     placed = taken.select("doc", "keeper", *parts("place", "start", "stop"), *parts("word", "word", "upto")).repartition("doc")
 
-    def runs(rows: DataFrame) -> DataFrame:
-        by_place = Window.partitionBy("doc").orderBy("start", "stop")
-        begins = rows.withColumn("begins", (F.col("start") > F.coalesce(F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-        numbered = begins.withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        keeper = F.max_by("keeper", F.struct(F.col("stop") - F.col("start"), "start")).alias("kept_in")
-        whole = numbered.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("upto").alias("upto"), F.max(F.col("keeper") == F.col("doc")).alias("kept"), keeper)
-        return whole.where(F.col("upto") - F.col("word") >= least_words)
-
-    both = runs(placed.where("keeper < doc")).unionByName(runs(placed).where("kept").withColumn("kept_in", F.col("doc")))
-    return both.select(F.col("doc").alias(id_col), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), (F.col("upto") - F.col("word")).alias("n_words"), "kept_in", "kept")
+    # runs of what others keep, and runs of all, in one pass over a document
+    other = F.col("keeper") < F.col("doc")
+    by_place = Window.partitionBy("doc").orderBy("start", "stop")
+    before, upto_here = by_place.rowsBetween(Window.unboundedPreceding, -1), by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = {"all": F.col("start") > F.coalesce(F.max("stop").over(before), F.lit(-1)), "other": other & (F.col("start") > F.coalesce(F.max(F.when(other, F.col("stop"))).over(before), F.lit(-1)))}
+    numbered = placed.withColumns({f"new_{k}": v.cast("int") for k, v in begins.items()}).withColumns({f"run_{k}": F.sum(f"new_{k}").over(upto_here) for k in begins})
+    each = numbered.withColumn("r", F.explode(F.expr("CASE WHEN keeper < doc THEN array(struct(true AS whole, run_all AS run), struct(false AS whole, run_other AS run)) ELSE array(struct(true AS whole, run_all AS run)) END")))
+    keeper = F.max_by("keeper", F.struct(F.col("stop") - F.col("start"), "start")).alias("by")
+    runs = each.groupBy("doc", "r").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("word").alias("word"), F.max("upto").alias("upto"), F.max(F.col("keeper") == F.col("doc")).alias("kept"), keeper)
+    both = runs.where(F.col("upto") - F.col("word") >= least_words).where("kept = r.whole")
+    return both.select(F.col("doc").alias(id_col), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), (F.col("upto") - F.col("word")).alias("n_words"), F.expr("CASE WHEN kept THEN doc ELSE by END").alias("kept_in"), "kept")
 
 
 @carries
