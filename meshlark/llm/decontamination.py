@@ -46,6 +46,8 @@ BLOCK_BYTES = 2 << 20
 GAP = 2 * PIECE
 #: Places looked up, and pairs of places counted, at once.
 PLACES, PAIRS = 1 << 20, 1 << 20
+#: Passages aligned at once.
+ALIGNED = 1024
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _BITS = 22
 
@@ -60,31 +62,28 @@ def _grams(joined: bytes) -> np.ndarray:
     return np.ndarray((max(len(joined) - Q + 1, 0),), "<u8", joined, 0, (1,)).copy()
 
 
-def edits(passage: bytes, region: bytes, most: int, low: int | None = None, high: int | None = None) -> tuple[int, int]:
-    """The least edits that turn the passage into a part of the region, if at most `most` (else most + 1), and where that part ends.
+def aligned(passages: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The least edits that turn each passage (a column of bytes) into a part of its text (a column that is longer by W).
 
-    Only diagonals (place in the region less place in the passage) from low to
-    high are followed; by default all that an alignment of so few edits can take.
+    A banded alignment of all columns side by side: place k of a passage meets
+    places k to k + W of its text. Ends in the text are free.
     """
-    if (at := region.find(passage)) >= 0:
-        return 0, at + len(passage)
-    low = -most if low is None else low
-    high = max(len(region) if high is None else high, low)
-    steps = np.arange(high - low + 1)
-    # beyond the region's ends nothing matches, which costs as much as leaving a byte out
-    text = np.full(len(passage) + len(steps), -1, np.int16)
-    first, inside = max(low, 0), np.frombuffer(region, np.uint8)
-    inside = inside[first : len(text) + low]
-    text[first - low : first - low + len(inside)] = inside
-    row = np.zeros(len(steps), np.int64)
-    for k, c in enumerate(passage):
-        new = row + (text[k : k + len(steps)] != c)
+    wide = len(texts) - len(passages) + 1
+    steps = np.arange(wide, dtype=np.int32)[:, None]
+    row = np.zeros((wide, passages.shape[1]), np.int32)
+    for k, c in enumerate(passages):
+        new = row + (texts[k : k + wide] != c)
         np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return most + 1, 0
-    at = int(row.argmin())
-    return int(row[at]), min(max(len(passage) + low + at, 0), len(region))
+        row = np.minimum.accumulate(new - steps, axis=0) + steps
+    return row.min(axis=0)
+
+
+def edits(passage: bytes, region: bytes, most: int) -> int:
+    """The least edits that turn the passage into a part of the region, if at most `most` (else most + 1)."""
+    # beyond the region's ends nothing matches, which costs as much as leaving a byte out
+    text = np.full(most + len(region) + len(passage), -1, np.int16)
+    text[most : most + len(region)] = np.frombuffer(region, np.uint8)
+    return min(int(aligned(np.frombuffer(passage, np.uint8)[:, None], text[:, None])[0]), most + 1)
 
 
 class Passages:
@@ -128,6 +127,7 @@ class Passages:
         reduced = [plain(t) for t in texts]
         joined = (b"\0" * GAP).join(reduced) + b"\0" * Q
         starts = np.cumsum([0, *(len(t) + GAP for t in reduced[:-1])])
+        around = np.frombuffer(b"\0" * GAP + joined + b"\0" * GAP, np.uint8)
         held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # bands that more places may lie in, and their counts so far
         for a in range(0, len(joined) - Q + 1, PLACES):
             grams = _grams(joined[a : a + PLACES + Q - 1])
@@ -152,10 +152,10 @@ class Passages:
                 keys, shared = held
                 passage, begin = self._of(keys)
                 done = begin + 2 * (self.ks[passage] + 1) + self.sizes[passage] < at[y - 1]
-                self._verified(keys[done], shared[done], joined, starts, reduced, out)
+                self._verified(keys[done], shared[done], around, starts, out)
                 held = keys[~done], shared[~done]
                 x = y
-        self._verified(*held, joined, starts, reduced, out)
+        self._verified(*held, around, starts, out)
         return [[(i, e, n) for i, (e, n) in sorted(hits.items())] for hits in out]
 
     def _of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +174,28 @@ class Passages:
         keys, place = np.unique(np.concatenate((held[0], both)), return_inverse=True)
         return keys, np.bincount(place, np.concatenate((held[1], more)), len(keys)).astype(np.int64)
 
-    def _verified(self, keys: np.ndarray, shared: np.ndarray, joined: bytes, starts: np.ndarray, reduced: list[bytes], out: list[dict[int, tuple[int, int]]]) -> None:
-        """Aligns the passages of the bands that reach the bound."""
+    def _verified(self, keys: np.ndarray, shared: np.ndarray, around: np.ndarray, starts: np.ndarray, out: list[dict[int, tuple[int, int]]]) -> None:
+        """Aligns the passages of the bands that reach the bound, those of one length together. around: the joined texts with GAP NULs at both ends, which match nothing."""
         passage, begin = self._of(keys)
-        for i in np.flatnonzero(shared >= self.bounds[passage]):
-            p, at = int(passage[i]), int(begin[i])
-            k, text = int(self.ks[p]), self.text[p]
-            d = int(np.searchsorted(starts, at + 2 * (k + 1) + PIECE, "right")) - 1
-            best = out[d].get(self.item[p])
-            if best and (best[1] > len(text) or best[1] == len(text) and best[0] == 0):
-                continue
-            # an alignment of at most k edits leaves the band by k diagonals at most
-            left = max(at - k, int(starts[d]))
-            region = joined[left : min(at + len(text) + 3 * (k + 1), int(starts[d]) + len(reduced[d]))]
-            e, _ = edits(text, region, k, at - k - left, at - k - left + 4 * (k + 1))
-            if e <= k and (best is None or (-len(text), e) < (-best[1], best[0])):
-                out[d][self.item[p]] = (e, len(text))
+        reach = np.flatnonzero(shared >= self.bounds[passage])
+        passage, begin = passage[reach], begin[reach]
+        ks, sizes = self.ks[passage], self.sizes[passage]
+        doc = np.searchsorted(starts, begin + 2 * (ks + 1) + PIECE, "right") - 1
+        for size in np.unique(sizes)[::-1]:
+            of = np.flatnonzero(sizes == size)
+            k = int(ks[of[0]])
+            for a in range(0, len(of), ALIGNED):
+                some = [i for i in of[a : a + ALIGNED] if not ((best := out[doc[i]].get(self.item[passage[i]])) and (best[1] > size or best == (0, size)))]
+                if not some:
+                    continue
+                # an alignment of at most k edits leaves the band's 2 (k + 1) diagonals by k at most
+                texts = around[(begin[some] - k + GAP)[None] + np.arange(size + 4 * k + 2)[:, None]]
+                found = aligned(np.frombuffer(b"".join(self.text[passage[i]] for i in some), np.uint8).reshape(len(some), size).T, texts)
+                for i, e in zip(some, found.tolist(), strict=True):
+                    item = self.item[passage[i]]
+                    best = out[doc[i]].get(item)
+                    if e <= k and (best is None or (-size, e) < (-best[1], best[0])):
+                        out[doc[i]][item] = (e, int(size))
 
 
 def _blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
