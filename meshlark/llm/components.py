@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import spread_join, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
     """(u, v, m) for pairs (u, v): m is the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return pairs.join(least, pairs["u"] == least["k"]).select("u", "v", "m")
+    least = written(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
+    return spread_join(pairs, least, "u", "n").select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b): the least id that can be reached.
 
     Each round ties every node's larger neighbours to its least neighbour, then
-    its smaller ones; the trees' heights fall by a constant factor a round.
+    its smaller ones; the trees' heights fall by a constant factor a round. The
+    centre of a large star is joined as a broadcast table, in no single task.
     Repeated links and links of a node with itself change nothing.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = _least(large)
         small = least.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small)

@@ -38,13 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import arrow_map, blocks, mix, small_side, utf8, windows, words, written
+from .shared import arrow_map, blocks, carries, mix, small_side, spread_join, utf8, windows, words, written
 
 WIDTH = 5
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: Buckets of at most so many classes give all their pairs in any case.
 SMALL = 16
+#: Rows of one key that go to one task, about.
+PART_ROWS = 1000
 #: Classes link if PART * intersection >= whole * union; WHOLE is the usual threshold.
 PART, WHOLE = 100, 85
 
@@ -143,11 +145,32 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col)), make, "doc long, th long, n long, digest binary, bands array<long>")
 
 
+def _parts(size: str) -> str:
+    """Into how many parts the rows of a key are dealt, by their number."""
+    return f"CAST(ceil({size} / {PART_ROWS}) AS INT)"
+
+
+def _dealt(rows: DataFrame, by: str, size: str = "size") -> DataFrame:
+    """rows with the part that each goes to; size: the number of rows of its key."""
+    return rows.withColumn("part", F.expr(f"pmod(xxhash64({by}), {_parts(size)})"))
+
+
+def _to_all(keyed: DataFrame, size: str = "size") -> DataFrame:
+    """A copy of each row for every part of its key."""
+    return keyed.withColumn("part", F.explode(F.expr(f"sequence(0L, {_parts(size)} - 1L)")))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, whole: int) -> DataFrame:
-    """pairs (a, b) with na, nb, both (the size of the intersection) and own, the shingles of b outside a that come first in the order of hashes, as many as decide."""
-    ta = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
+    """pairs (a, b) with na, nb, both (the size of the intersection) and own, the shingles of b outside a that come first in the order of hashes, as many as decide.
+
+    The text of a hub goes to as many tasks as its members fill.
+    """
+    pairs = written(pairs.select("a", "b", "hub"))
+    met = written(pairs.groupBy("a").agg(F.count("*").alias("size")))
+    dealt = _dealt(spread_join(pairs, met, "a", "size"), "b")
+    ta = _to_all(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")).join(met, "a")).drop("size")
     tb = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b", "hub").join(tb, "b").join(ta, "a").select("a", "b", "hub", "text_a", "text_b")
+    joined = dealt.join(tb, "b").join(ta, ["a", "part"]).select("a", "b", "hub", "text_a", "text_b")
 
     def make():
         last: list = [None, None]
@@ -189,21 +212,24 @@ def _corner(hub_pairs: DataFrame, whole: int) -> DataFrame:
     With p shingles outside the hub and q of the hub's missing, such a pair
     differs in at least p1 + p2 + |q1 - q2| shingles. That is few enough only if
     the partner is shorter than the hub, by what the first is too far from it.
+    Both sides are dealt over the tasks by their numbers, not by the hub alone.
     """
     m = hub_pairs.select("a", F.col("b").alias("c"), F.col("nb").alias("n"), (F.col("nb") - F.col("shared")).alias("p"), (F.col("na") - F.col("shared")).alias("q"), (F.col("na") - F.col("nb")).alias("short"), F.expr(_linked(whole)).alias("linked"))
-    far = m.where("NOT linked")
-    span = m.groupBy("a").agg(F.max("short").alias("most_short"), F.max("n").alias("most_n"))
     slack = PART + whole, PART - whole
-    near = far.join(span, "a").where(f"{slack[0]} * (p + q - most_short) <= {slack[1]} * (n + most_n)").drop("most_short", "most_n")
-    x, y = near.alias("x"), m.where("short > 0").alias("y")
-    met = x.join(y, (F.col("x.a") == F.col("y.a")) & F.expr(f"x.c <> y.c AND {slack[0]} * (x.p + y.p + abs(x.q - y.q)) <= {slack[1]} * (x.n + y.n)"))
+    span = written(m.groupBy("a").agg(F.max("short").alias("most_short"), F.max("n").alias("most_n"), F.count("*").alias("size")))
+    spanned = spread_join(m, span, "a", "size")
+    near = written(spanned.where(f"NOT linked AND {slack[0]} * (p + q - most_short) <= {slack[1]} * (n + most_n)").drop("most_short", "most_n"))
+    if near.isEmpty():
+        return near.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    x, y = _dealt(near, "c").alias("x"), _to_all(spanned.where("short > 0")).alias("y")
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.part") == F.col("y.part")) & F.expr(f"x.c <> y.c AND {slack[0]} * (x.p + y.p + abs(x.q - y.q)) <= {slack[1]} * (x.n + y.n)"))
     return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
 def _pairs(members: DataFrame, whole: int) -> DataFrame:
-    """The pairs of different components in buckets of members (key, cid, n, component) whose sizes allow a link."""
-    x, y = members.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"x.cid < y.cid AND x.component <> y.component AND {PART} * least(x.n, y.n) >= {whole} * greatest(x.n, y.n)"))
+    """The pairs of different components in buckets of members (key, cid, n, component, size) whose sizes allow a link."""
+    x, y = _dealt(members, "cid").alias("x"), _to_all(members).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & F.expr(f"x.cid < y.cid AND x.component <> y.component AND {PART} * least(x.n, y.n) >= {whole} * greatest(x.n, y.n)"))
     return met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
@@ -212,9 +238,9 @@ def _with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         named = members.withColumn("component", F.col("cid"))
     else:
-        named = members.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key", "size")
-    return named.join(mixed, "key")
+        named = written(members.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    mixed = written(named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key", "size"))
+    return spread_join(named, mixed, "key", "size")
 
 
 def _small(mixed: DataFrame, budget: int) -> int:
@@ -229,22 +255,24 @@ def _hubs(big: DataFrame) -> DataFrame:
 
     A class meets as many others as its large buckets hold. A bucket takes the
     hub, of those of all large buckets its members are in, that meets the most.
+    What is known of a bucket goes to as many tasks as its members fill.
     """
     met = big.groupBy("cid").agg(F.sum("size").alias("met"))
-    rank = F.max(F.struct("met", (-F.col("cid")).alias("least"))).alias("best")
-    ranked = big.select("key", "cid").join(met, "cid")
-    of_bucket = ranked.groupBy("key").agg(rank)
-    of_member = big.select("key", "cid").join(of_bucket, "key").groupBy("cid").agg(F.max("best").alias("best"))
-    widened = big.select("key", "cid").join(of_member, "cid").groupBy("key").agg(F.max("best").alias("best"))
-    return big.select("key", "cid").join(widened, "key").select((-F.col("best.least")).alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
+    ranked = _dealt(big.select("key", "cid", "size").join(met, "cid"), "cid")
+    best = lambda rows, by: rows.groupBy(by).agg(F.max(F.struct("met", F.col("least"))).alias("best"))
+    of_bucket = _to_all(best(ranked.withColumn("least", -F.col("cid")), "key").join(big.groupBy("key").agg(F.max("size").alias("size")), "key")).drop("size")
+    dealt = _dealt(big.select("key", "cid", "size"), "cid")
+    of_member = dealt.join(of_bucket, ["key", "part"]).select("cid", "best.met", "best.least").groupBy("cid").agg(F.max(F.struct("met", "least")).alias("best")).select("cid", "best.*")
+    widened = _to_all(best(big.select("key", "cid").join(of_member, "cid"), "key").join(big.groupBy("key").agg(F.max("size").alias("size")), "key")).drop("size")
+    return dealt.join(widened, ["key", "part"]).select((-F.col("best.least")).alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole: int = WHOLE) -> DataFrame:
     """(id, component) of the classes (cid, n, th, bands) that are linked to another."""
     spark = docs.sparkSession
     keyed = classes.select("cid", "n", F.explode("bands").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = written(keyed.join(shared_keys, "key"))
+    shared_keys = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = written(spread_join(keyed, shared_keys, "key", "size").drop("size"))
     wanted = small_side(members.select("cid").distinct().join(classes.select("cid", "th"), "cid"))
     text = docs.select(F.col(id_col).cast("long").alias("cid"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     texts = written(text.join(wanted, ["cid", "th"]).dropDuplicates(["cid"]))
@@ -274,10 +302,9 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole
             found = written(components(edges))
         if not any_hub:
             break
-        next_ = hub_pairs.select("a", F.col("b").alias("cid"), F.col("nb").alias("n"), F.explode("own").alias("token"))
-        key = F.xxhash64("a", "token")
-        again = next_.groupBy("a", "token").agg(F.count("*").alias("k")).where("k > 1").select("a", "token")
-        members = written(next_.join(again, ["a", "token"]).select("cid", "n", key.alias("key")).distinct())
+        next_ = hub_pairs.select("a", F.col("b").alias("cid"), F.col("nb").alias("n"), F.explode("own").alias("token")).select("cid", "n", F.xxhash64("a", "token").alias("key"))
+        again = written(next_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+        members = written(spread_join(next_, again, "key", "size").select("cid", "n", "key").distinct())
     return found if found is not None else spark.createDataFrame([], "id long, component long")
 
 
@@ -291,6 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+@carries
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int = WHOLE) -> DataFrame:
     """The rows of docs without those whose group has a document of a lesser id; of rows that repeat an id one stays, rows without an id all stay."""
     kept = near_duplicates(docs, id_col, text_col, whole).where("kept").select(F.col(id_col).alias("_op_kept")).distinct()

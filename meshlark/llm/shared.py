@@ -151,3 +151,23 @@ def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
 
     kept = written(df)
     return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
+#: Keys with more than one in so many rows (and LEAST_HOT) are hot; there are at most as many of them.
+HOT, LEAST_HOT = 1000, 1000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: str, count: str) -> DataFrame:
+    """rows joined to keyed, a written table of a row for each key with the number of `rows` that have it in `count`.
+
+    Hot keys go by a broadcast table of at most HOT rows, so that no task gets all rows of one.
+    """
+    from pyspark.sql import functions as F
+
+    rows_of = keyed.agg(F.sum(count), F.max(count)).first()
+    limit = max(LEAST_HOT, (rows_of[0] or 0) // HOT)
+    if (rows_of[1] or 0) <= limit:
+        return rows.join(keyed, on)
+    hot = F.broadcast(keyed.where(F.col(count) > limit))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keyed.where(F.col(count) <= limit), on)
+    return rest.unionByName(rows.join(hot, on))
