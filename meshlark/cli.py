@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("what", choices=["inspect", "tile"])
     parser.add_argument("path")
     parser.add_argument("place", nargs="*", type=int, help="z x y")
-    parser.add_argument("--how", default="bicubic", choices=["nearest", "bicubic"])
+    parser.add_argument("--how", default="bicubic", choices=["nearest", "bicubic", "mode"])
     parser.add_argument("--size", type=int, default=256)
     parser.add_argument("--field", type=int, default=0)
     parser.add_argument("--out")

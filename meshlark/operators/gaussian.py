@@ -29,6 +29,26 @@ def regional(n: int, rows: int, north: float) -> tuple[float, ...]:
     return every[start : start + rows]
 
 
+def layout(width: np.ndarray, west: float, east: float, di: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first longitude, step, last longitude) of rows of these widths between west and east; a step of 0 is a single column, a last longitude without bound a row around the globe.
+
+    A step that is given counts; without one the grid goes around the globe if
+    its widest row does. Fixed tolerance: a tenth of a step.
+    """
+    width = np.asarray(width, float)
+    wide, span = np.maximum(width, 1), east - west
+    if di and di > 0:
+        step = np.full(width.shape, float(di))
+        around = np.abs(step * width - 360) < np.maximum(1e-6, 0.1 * step)
+    else:
+        nominal = 360 / max(float(width.max(initial=0)), 1)
+        around = np.full(width.shape, width.max(initial=0) > 1 and abs(span + nominal - 360) < max(1e-6, 0.1 * nominal)) & (width > 1)
+        step = np.where(around, 360 / wide, span / np.maximum(width - 1, 1))
+    single = width <= 1
+    step = np.where(single, 0.0, step)
+    return np.full(width.shape, float(west)), step, np.where(single, west, np.where(around, np.inf, east))
+
+
 def row_offsets(rows: DataFrame, grid: list[str]) -> DataFrame:
     """rows (grid, j, width) with `first`, the place in storage of each row's first value."""
     run = Window.partitionBy(*grid).orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
