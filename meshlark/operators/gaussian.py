@@ -55,23 +55,27 @@ def row_offsets(rows: DataFrame, grid: list[str]) -> DataFrame:
     return rows.withColumn("first", (F.sum("width").over(run) - F.col("width")).cast("long"))
 
 
-def locate(points: DataFrame, rows: DataFrame, id_col: str, west: float = 0.0, most_rows: int = 100_000) -> DataFrame:
-    """(id, fi, fj, off) of points (id, lat, lon) on a global grid of rows (j, width, first, lat); null poleward of the first or last row.
+def locate(points: DataFrame, rows: DataFrame, id_col: str, west: float = 0.0) -> DataFrame:
+    """(id, fi, fj, off) of points (id, lat, lon) on a grid of rows (j, width, first, lat); null outside.
 
-    Rows are a description of one grid; the join by latitude ranges broadcasts
-    them, and grids of more than most_rows rows are refused.
+    Rows go around the globe from `west`, unless rows has the columns west, step
+    and east (see layout). Points meet the row north of them by an equi-join of
+    latitude buckets, a quarter of a row's height each on average, so that a
+    point meets one or two rows.
     """
-    held = rows.orderBy("j").limit(most_rows + 1).collect()
-    if len(held) > most_rows:
-        raise ValueError(f"a grid of more than {most_rows} rows")
-    spark = points.sparkSession
-    table = [(int(a["j"]), float(a["lat"]), float(b["lat"])) for a, b in zip(held, held[1:], strict=False)]
-    spans = F.broadcast(spark.createDataFrame(table, "j int, lat double, next double"))
-    widths = F.broadcast(spark.createDataFrame([(int(r["j"]), int(r["width"]), int(r["first"])) for r in held], "r_j int, width int, first long"))
-    last = len(table) - 1
-    p = points.select(id_col, F.col("lat").alias("p_lat"), "lon")
-    inside = (F.col("p_lat") <= F.col("lat")) & ((F.col("p_lat") > F.col("next")) | ((F.col("j") == last) & (F.col("p_lat") >= F.col("next"))))
-    placed = p.join(spans, inside, "left").withColumn("fj", F.expr("j + (lat - p_lat) / (lat - next)"))
-    rowed = placed.join(widths, F.expr(f"CAST({half_up('fj')} AS INT)") == F.col("r_j"), "left")
-    fi = f"({wrap360('lon', f'{west!r}e0')} - {west!r}e0) / (360e0 / width)"
-    return rowed.withColumn("fi", F.expr(fi)).select(id_col, "fi", "fj", F.expr(f"CAST(first + CAST({half_up('fi')} AS INT) % width AS BIGINT)").alias("off"))
+    run = Window.orderBy("j")  # the rows of one grid
+    known = rows if "step" in rows.columns else rows.withColumns({"west": F.lit(float(west)), "step": F.lit(360.0) / F.col("width"), "east": F.lit(float("inf"))})
+    spans = known.select("j", F.col("lat").alias("above"), F.lead("lat").over(run).alias("below"), F.lead("j", 2).over(run).isNull().alias("last")).where("below IS NOT NULL")
+    height = rows.agg(F.count("*").alias("n"), (F.max("lat") - F.min("lat")).alias("span")).first()
+    size = max(float(height.span or 0) / (4 * max(height.n - 1, 1)), 1e-9)
+    bucket = lambda lat: f"CAST(floor(({lat}) / {size!r}e0) AS BIGINT)"
+    spread = spans.withColumn("bucket", F.explode(F.expr(f"sequence({bucket('below - 1e-9')}, {bucket('above + 1e-9')})")))
+    p = points.select(id_col, F.col("lat").alias("p_lat"), "lon", F.expr(bucket("lat")).alias("bucket"))
+    inside = F.expr("p_lat <= above + CASE WHEN j = 0 THEN 1e-9 ELSE 0e0 END AND (p_lat > below OR last AND p_lat >= below - 1e-9)")
+    placed = p.join(spread, "bucket").where(inside).select(id_col, "lon", F.expr("greatest(least(j + (above - p_lat) / (above - below), j + 1e0), j * 1e0)").alias("fj"))
+    named = known.select(F.col("j").alias("r_j"), "width", "first", "west", "step", "east")
+    rowed = placed.join(named, F.expr(f"CAST({half_up('fj')} AS INT)") == F.col("r_j"))
+    x = wrap360("lon", "west")
+    fi = f"CASE WHEN step = 0 THEN (CASE WHEN abs({x} - west) <= 1e-9 THEN 0e0 END) WHEN east = double('Infinity') OR {x} <= east + 1e-9 THEN ({x} - west) / step END"
+    found = rowed.withColumn("fi", F.expr(fi)).where("fi IS NOT NULL").select(F.col(id_col).alias("f_id"), "fi", "fj", F.expr(f"CAST(first + CAST({half_up('fi')} AS INT) % width AS BIGINT)").alias("off"))
+    return points.select(id_col).join(found, F.col(id_col) == F.col("f_id"), "left").drop("f_id")

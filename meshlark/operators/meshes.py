@@ -1,18 +1,24 @@
 """Unstructured meshes: coordinates by identifier, nearest cells, masks and maps from tiles to cells.
 
 mesh: uuid, cell, lat, lon (and masked). Nearest cells are found by an equi-join
-of latitude-longitude buckets. A query first searches the buckets around its
-own; what it found bounds how far a nearer cell can lie, and queries whose
-buckets don't reach that far (and those that found nothing) search again, twice
-as far. The result is exact; of equally near cells the least number wins.
+of cubes that the unit sphere is cut into. A query first searches the cubes
+around its own; what lies elsewhere is at least a cube's edge away, so queries
+that found nothing so near search again in cubes of twice the edge, up to those
+that hold the whole sphere, or up to the greatest distance asked for. The result
+is exact; of equally near cells the least number wins. Each round's open queries
+are a table, so that no round computes the ones before again.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import RADIUS, bucket, chord2, unit_vector
+from ..sources.errors import MissingMesh
+from .tables import written
 
 
 def paired(arrays: DataFrame) -> DataFrame:
@@ -42,12 +48,21 @@ def paired(arrays: DataFrame) -> DataFrame:
     return joined.select("uuid", "lat_no", "lon_no", lat_test, lon_test)
 
 
-def attached(cells: DataFrame, mesh: DataFrame) -> DataFrame:
-    """cells (uuid, cell, value, ...) with the lat and lon of their mesh; null where the mesh isn't known."""
+def attached(cells: DataFrame, mesh: DataFrame, require_mesh: bool = False) -> DataFrame:
+    """cells (uuid, cell, value, ...) with the lat and lon of their mesh; null where the mesh isn't known, or an error if require_mesh."""
+    if require_mesh:
+        missing = cells.select("uuid").distinct().join(mesh.select("uuid").distinct(), "uuid", "left_anti").limit(5).collect()
+        if missing:
+            raise MissingMesh(f"no coordinates for the meshes {sorted(str(r.uuid) for r in missing)}")
     named = mesh.select(F.col("uuid").alias("m_uuid"), F.col("cell").alias("m_cell"), "lat", "lon")
     return cells.join(named, (F.col("uuid") == F.col("m_uuid")) & (F.col("cell") == F.col("m_cell")), "left").drop("m_uuid", "m_cell")
 
 
+def mesh_ids(mesh: DataFrame) -> DataFrame:
+    """(uuid, cells): the meshes that coordinates are known of."""
+    return mesh.groupBy("uuid").agg(F.count("*").alias("cells"))
+
+
 def histogram(mesh: DataFrame, n_lat: int) -> DataFrame:
     """(row, column, n): the cells of each bucket."""
     row, column = bucket("lat", "lon", str(n_lat))
@@ -62,37 +77,40 @@ def bucket_rows(cells: int) -> int:
 def nearest_cells(points: DataFrame, mesh: DataFrame, id_col: str, n_lat: int, max_metres: float | None = None) -> DataFrame:
     """(id, cell, d2, masked): the nearest cell of each point by squared chord; cell is null if it is masked or further than max_metres.
 
-    points: id, lat, lon. The rings grow until every point is settled: a cell
-    outside the searched latitudes and longitudes is at least `reach` away.
+    points: id, lat, lon, and uuid if mesh holds several meshes: then each point
+    is answered from its own. n_lat sets the first cubes' edge, a row of so many
+    from pole to pole. Points whose mesh has no cell give nulls.
     """
     x, y, z = unit_vector("lat", "lon")
-    has_mask = "masked" in mesh.columns
-    row, column = bucket("lat", "lon", str(n_lat))
-    cells = mesh.select("cell", F.expr(x).alias("mx"), F.expr(y).alias("my"), F.expr(z).alias("mz"), F.expr(row).alias("m_row"), F.expr(column).alias("m_col"), (F.col("masked") if has_mask else F.lit(False)).alias("masked"))
-    left = points.select(id_col, F.expr(x).alias("px"), F.expr(y).alias("py"), F.expr(z).alias("pz"), F.col("lat").alias("plat"), F.expr(row).alias("p_row"), F.expr(column).alias("p_col"))
-    step, done, ring = 180.0 / n_lat, None, 1
+    own = ["uuid"] if "uuid" in points.columns and "uuid" in mesh.columns else []
+    masked = F.col("masked") if "masked" in mesh.columns else F.lit(False)
+    cells = mesh.select(*own, "cell", F.expr(x).alias("mx"), F.expr(y).alias("my"), F.expr(z).alias("mz"), masked.alias("masked"))
+    left = points.select(id_col, *own, F.expr(x).alias("px"), F.expr(y).alias("py"), F.expr(z).alias("pz"))
+    edge, done = max(2 * math.sin(math.pi / (2 * n_lat)), 1e-6), None
+    limit = 2 * math.sin(min(max_metres / (2 * RADIUS), math.pi / 2)) if max_metres and max_metres > 0 else None
+    cube = lambda v, k: F.expr(f"CAST(floor({v} / {edge!r}e0) AS INT) + {k}")
     while True:
-        last = ring >= 2 * n_lat  # all rows and columns
-        # near a pole a step of longitude is short: there every column of the searched rows counts
-        steep = F.expr(f"abs(plat) + {ring * step!r}e0 >= 75e0") | F.lit(last or 2 * ring + 1 >= 2 * n_lat)
-        rows = left.withColumn("m_row", F.explode(F.expr(f"sequence(greatest(p_row - {ring}, 0), least(p_row + {ring}, {n_lat - 1}))")))
-        columns = F.when(steep, F.expr(f"sequence(0, {2 * n_lat - 1})")).otherwise(F.expr(f"transform(sequence(-{ring}, {ring}), k -> pmod(p_col + k, {2 * n_lat}))"))
-        reached = rows.withColumn("steep", steep).withColumn("m_col", F.explode(columns))
-        d2 = F.expr("(px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)")
-        met = reached.join(cells, ["m_row", "m_col"]).withColumn("d2", d2)
+        # cubes of edge 2 hold the sphere, and none further than the greatest distance matters
+        last = edge >= 2 or limit is not None and edge >= limit
+        around = left.withColumn("near", F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> flatten(transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a, b, c))))))")))
+        asked = around.select(id_col, *own, "px", "py", "pz", *(cube(f"p{v}", f"near.{n}").alias(f"k{v}") for v, n in zip("xyz", "abc", strict=True)))
+        held = cells.select("*", *(cube(f"m{v}", 0).alias(f"k{v}") for v in "xyz"))
+        d2 = F.expr("(px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)").alias("d2")
+        met = asked.join(held, [*own, "kx", "ky", "kz"]).select(id_col, d2, "cell", "masked")
         best = met.groupBy(id_col).agg(F.min(F.struct("d2", "cell", "masked")).alias("b"))
-        # from a point to what lies outside: `ring` steps of latitude, or of longitude at the searched latitude furthest from the equator
-        reach = f"least({ring * step!r}e0, CASE WHEN steep THEN 180e0 ELSE degrees(asin(sin(radians({min(ring * step, 90.0)!r}e0)) * cos(radians(least(abs(plat) + {ring * step!r}e0, 90e0))))) END)"
-        bound = f"(2 * sin(radians({reach}) / 2) * 2 * sin(radians({reach}) / 2))"
-        seen = left.withColumn("steep", steep).join(best, id_col, "left").withColumn("settled", F.lit(last) | F.expr(f"coalesce(b.d2 <= {bound}, FALSE)"))
-        now = seen.where("settled").select(id_col, "b.cell", "b.d2", "b.masked")
-        done = now if done is None else done.unionByName(now)
+        seen = left.join(best, id_col, "left")
+        near = F.expr(f"coalesce(b.d2 <= {edge * edge!r}e0, FALSE)")
         if last:
+            now = seen.select(id_col, "b.cell", "b.d2", "b.masked")
+            done = now if done is None else done.unionByName(now)
             break
-        left = seen.where("NOT settled").drop("b", "settled", "steep")
+        seen = written(seen.withColumn("settled", near))
+        now = seen.where("settled").select(id_col, "b.cell", "b.d2", "b.masked")
+        done = now if done is None else done.unionByName(now)
+        left = seen.where("NOT settled").drop("b", "settled")
         if left.isEmpty():
             break
-        ring *= 2
+        edge *= 2
     keep = "NOT masked" + (f" AND d2 <= {chord2(f'{max_metres!r}e0')}" if max_metres and max_metres > 0 else "")
     return done.select(id_col, F.expr(f"CASE WHEN {keep} THEN cell END").alias("cell"), "d2", "masked")
 

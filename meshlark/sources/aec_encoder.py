@@ -1,8 +1,10 @@
-"""A small entropy encoder that writes every block option, for tests of the decoder."""
+"""A plain entropy encoder (CCSDS 121.0) that can write every block option."""
+
+from __future__ import annotations
 
 import numpy as np
 
-from meshlark.sources import aec
+from . import aec
 
 
 class Writer:

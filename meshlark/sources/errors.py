@@ -19,3 +19,7 @@ class BadStream(GribError):
 
 class Unsupported(GribError):
     """A template or option without a decoder here."""
+
+
+class MissingMesh(GribError):
+    """The coordinates of an unstructured grid's cells aren't known."""

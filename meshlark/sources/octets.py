@@ -34,15 +34,11 @@ def float32(data: bytes, at: int) -> float:
 
 def fields(data: bytes, starts: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
     """The unsigned numbers of `widths` bits (0 to 32) that begin at the bits `starts`, highest bit first."""
-    held = np.frombuffer(data + b"\0" * 8, np.uint8).astype(np.uint64)
-    starts = np.asarray(starts, np.int64)
-    byte = starts >> 3
-    v = np.zeros(len(starts), np.uint64)
-    for k in range(5):
-        v = v << np.uint64(8) | held[byte + k]
-    widths = np.asarray(widths, np.int64)
-    shift = (40 - widths - (starts & 7)).astype(np.uint64)
-    return (v >> shift & ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    eight = np.ndarray((len(data) + 1,), ">u8", data + b"\0" * 8, 0, (1,))  # the eight octets from each place on
+    starts, widths = np.asarray(starts, np.int64), np.asarray(widths, np.int64)
+    shift = (64 - widths - (starts & 7)).astype(np.uint64)
+    v = eight[starts >> 3].astype(np.uint64)
+    return (v >> np.minimum(shift, 63) & ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:

@@ -27,7 +27,13 @@ def simple(body: bytes, payload: bytes, n: int) -> np.ndarray:
         return np.full(n, bias)
     if bits > 32 or n * bits > 8 * len(payload):
         raise BadStream("the payload doesn't fit its width")
-    return bias + octets.unpack(payload, bits, n) * unit
+    if bits in (8, 16, 32):  # whole octets: one pass from bytes to values
+        x = np.frombuffer(payload, f">u{bits // 8}", n).astype(np.float64)
+    else:
+        x = octets.unpack(payload, bits, n).astype(np.float64)
+    x *= unit
+    x += bias
+    return x
 
 
 def _groups(body: bytes, payload: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:

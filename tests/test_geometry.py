@@ -117,6 +117,21 @@ def test_nearest_cells_are_exact(spark):
     for rows in (4, 20, 60):
         got = {r.id: r.cell for r in meshes.nearest_cells(points, mesh.drop("masked"), "id", rows).collect()}
         assert got == dict(enumerate(best.tolist()))
+    from meshlark.sources.errors import MissingMesh
+
+    pole = spark.createDataFrame([("p", 0, 90.0, 0.0), ("q", 5, -90.0, 0.0), ("q", 6, 0.0, 0.0)], "uuid string, cell long, lat double, lon double")
+    both = points.withColumn("uuid", F.expr("CASE WHEN id % 2 = 0 THEN 'p' WHEN id % 3 = 0 THEN 'none' ELSE 'q' END"))
+    got = {r.id: r.cell for r in meshes.nearest_cells(both, pole, "id", 40).collect()}  # each point from its own mesh
+    q = unit(np.array([-90.0, 0.0]), np.zeros(2))
+    want = {k: 0 if k % 2 == 0 else None if k % 3 == 0 else 5 + int(((unit(pa[k], po[k]) - q) ** 2).sum(-1).argmin()) for k in range(len(pa))}
+    assert got == want
+    near = {r.id: r.cell for r in meshes.nearest_cells(points, mesh.drop("masked"), "id", 60, 300_000.0).collect()}
+    assert near == {k: int(c) if np.arccos(np.clip((unit(pa[k], po[k]) * unit(lat[c], lon[c])).sum(), -1, 1)) * 6371229 <= 300_000 else None for k, c in enumerate(best)}
+    cells = spark.createDataFrame([("p", 0, 1.0), ("x", 0, 2.0)], "uuid string, cell long, value double")
+    assert {r.uuid: r.lat for r in meshes.attached(cells, pole).collect()} == {"p": 90.0, "x": None} and meshes.attached(cells.where("uuid = 'p'"), pole, require_mesh=True).count() == 1
+    with pytest.raises(MissingMesh):
+        meshes.attached(cells, pole, require_mesh=True)
+    assert {r.uuid: r.cells for r in meshes.mesh_ids(pole).collect()} == {"p": 1, "q": 2}
     held = {r.id: r.cell for r in meshes.nearest_cells(points, mesh, "id", 12).collect()}
     assert held == {k: None if c % 7 == 0 else c for k, c in enumerate(best.tolist())}
 
@@ -136,6 +151,22 @@ def test_gaussian_latitudes():
     assert gaussian.regional(32, 3, 60.0)[0] == min(lats, key=lambda v: abs(v - 60))
 
 
+def test_gaussian_join_equals_arrays(spark):
+    from meshlark.operators import places
+
+    lats = gaussian.latitudes(8)
+    for widths, lo1, lo2, rows in (([4, 8, 12, 16, 20, 20, 20, 20, 20, 20, 20, 20, 16, 12, 8, 4], 0.0, 342.0, 16), ([3, 5, 1, 4], 350.0, 30.0, 4)):
+        grid = dict.fromkeys(places.COLUMNS) | {"grid_template": 40, "gaussian_n": 8, "nj": rows, "widths": widths, "la1": lats[0 if rows == 16 else 3], "la2": lats[-1 if rows == 16 else 6], "lo1": lo1, "lo2": lo2, "scan": 0}
+        at, west, step, east = places.rows_of(8, rows, grid["la1"], grid["la2"], lo1, lo2, None, 0, None, tuple(widths))
+        table = spark.createDataFrame([(j, w, sum(widths[:j]), float(at[j]), float(west[j]), float(step[j]), float(east[j])) for j, w in enumerate(widths)], "j int, width int, first long, lat double, west double, step double, east double")
+        pts = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip([*R.uniform(-90, 90, 500), *at], [*R.uniform(-180, 360, 500), *[lo1] * rows], strict=True))]
+        got = {r.id: r for r in gaussian.locate(spark.createDataFrame(pts, "id long, lat double, lon double"), table, "id").collect()}
+        fx, fy = places.locate(grid, np.array([p[1] for p in pts]), np.array([p[2] for p in pts]))
+        assert len(got) == len(pts) and (~np.isnan(fx)).sum() > 5
+        for k, (x, y) in enumerate(zip(fx, fy, strict=True)):
+            assert (got[k].fi is None and np.isnan(x)) or abs(got[k].fi - x) < 1e-6 and abs(got[k].fj - y) < 1e-6
+
+
 @pytest.mark.parametrize("scan", [0, 64, 80, 112, 160])
 def test_dense_rendering_equals_joins(spark, scan):
     from meshlark.operators import dense, tiles

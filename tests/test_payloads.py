@@ -2,9 +2,9 @@ import struct
 
 import numpy as np
 import pytest
-from .aec_encoder import encode
 
 from meshlark.sources import aec, octets, packings, png
+from meshlark.sources.aec_encoder import encode
 from meshlark.sources.errors import BadStream, Truncated, Unsupported
 
 R = np.random.default_rng(5)
@@ -137,3 +137,18 @@ def test_entropy_coding_errors():
         aec.decode(b"\x20", 64, aec.Config(8, 8, 4, 8))
     c = aec.Config(16, 8, 4, 8 | aec.MSB)
     assert aec.to_bytes(np.array([1, 258]), c) == b"\0\1\1\2"
+
+
+@pytest.mark.parametrize("packing", ["simple", "complex", "spdiff1", "spdiff2", "ccsds"])
+@pytest.mark.parametrize("kind", ["smooth", "noise", "flat", "short", "holes"])
+def test_packings_that_are_written(packing, kind):
+    from meshlark.sources import encoder as e
+    from meshlark.sources import messages
+
+    n = 3 if kind == "short" else 150
+    v = {"smooth": np.round(50 * np.sin(np.arange(n) / 9)) / 8, "noise": R.integers(0, 4000, n) / 8, "flat": np.full(n, 2.5), "short": np.array([1.0, 7.5, 3.0]), "holes": R.integers(0, 4000, n) / 8}[kind].astype(float)
+    if kind == "holes":
+        v[R.random(n) < 0.3] = np.nan
+    grid = e.LatLon(n, 1, 50, 5, 50, 9, 0.1, 0.1)
+    (row,) = messages.rows("f", e.file([[e.Field(grid, v, packing=packing, bits=16)]]), True)
+    assert np.array_equal(row["values"], v, equal_nan=True)
