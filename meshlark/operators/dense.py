@@ -116,7 +116,7 @@ def _key(grid: places.Grid) -> tuple:
 @lru_cache(32)
 def _tile_places(key: tuple, z: int, x: int, y: int, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a tile's pixels lie: columns and rows of the field, by axes where the grid allows it."""
-    grid = dict(key)
+    grid = dict.fromkeys(places.COLUMNS) | dict(key)
     lats, lons = pixel_centres(z, x, y, w, h)
     if not places.separable(grid):
         return places.locate(grid, lats[:, None], lons[None])

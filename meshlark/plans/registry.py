@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import headers as h
 from ..operators import catalog, meshes, sampling, tiles, unpacking
+from . import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -359,6 +360,11 @@ def _tile_bicubic(spark: SparkSession, d: str) -> DataFrame:
     return _rendered(spark, d, "bicubic")
 
 
+_FILE_QUERIES, _FILE_SQL = files.queries(lambda spark, d: lambda text: _sql(spark, d, text))
+_QUERIES |= _FILE_QUERIES
+_SQL |= _FILE_SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
