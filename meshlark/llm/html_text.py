@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from .shared import arrow_map
 
 #: Elements whose content is not text of the page.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video", "xmp", "noembed"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object", "canvas", "audio", "video", "noembed"}
+#: Elements whose content is text as it stands, tags and all.
+PLAIN = {"xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: An opening tag ends an open element of these kinds.
@@ -46,6 +48,8 @@ NAMES = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 #: Names of what can be longer than the article beside it, so that holding most of the text doesn't tell.
 BESIDE = re.compile(r"(?:^|[\s_-])(?:cookies?|consent|gdpr|popups?|modals?|comments?|commentlist|disqus|respond|repl(?:y|ies))(?:$|[\s_-])", re.I)
+#: Names that are also words of headings: as a part of a longer name inside an article they set apart only what is mostly links.
+HEADED = re.compile(r"(?:social|search|related|alerts?|promotions?|notices?|notifications?|share|reply|replies|navigation)", re.I)
 #: Why a node stands apart.
 NOT, USUAL, LONG, SECTION, HIDDEN = range(5)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -87,9 +91,11 @@ class Tree:
                         if top == name:
                             break
                 continue
-            if name in RAW:
+            if name in RAW or name in PLAIN:
                 if not rest.endswith("/"):
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                    if name in PLAIN:
+                        self.pieces += [(stack[-1], page[at : end.start() if end else size]), (-1, "")]
                     at = end.end() if end else size
                 continue
             if name not in INLINE:
@@ -125,8 +131,9 @@ class Tree:
             if key in ("class", "id") and BESIDE.search(value):
                 out = LONG
             elif key in ("class", "id") and (m := NAMES.search(value) or not inside and HEADER.search(value)) or key == "role" and value.lower() in ROLES:
-                # the id of a section in an article is made of words of its heading
-                kind = SECTION if key == "id" and name == "section" and inside and m[0] != value else USUAL
+                # names in an article can be made of words of a heading
+                words = key != "role" and inside and not any(m[0].strip(" \t\n_-") == x for x in value.split())
+                kind = SECTION if words and (key == "id" and name == "section" or name in ("div", "section") and HEADED.fullmatch(m[0].strip(" \t\n_-"))) else USUAL
                 out = kind if out in (NOT, SECTION) else out
         return out
 

@@ -298,3 +298,62 @@ def test_html_keeps_sections_and_references_of_an_article():
     refs = "".join(f"<li><a href=r{k}>Reference number {k}</a>" for k in range(5))
     page = f"<body><article><h1>Title</h1><p>{prose}<section id=social-history><h2>Social</h2><p>Guilds and towns.</section><section id='search-results'><p>Two were found.</section><ol>{refs}</ol><section id=related-posts><a href=x>Other posts</a></section><section id=comments><p>I think so.</section></article><ul>{refs}</ul></body>"
     assert html_text.main_text(page) == f"Title {prose}Social Guilds and towns. Two were found. " + " ".join(f"Reference number {k}" for k in range(5))
+
+
+def test_html_keeps_what_looks_like_something_else():
+    prose = "A sentence of the article that goes on for a good while, so that it is dense. " * 6
+    links = "".join(f"<li><a href=r{k}>Link number {k}</a>" for k in range(3))
+    page = f"<body><nav><a href=a>Menu</a></nav><article><h1>Title</h1><p>{prose}<ul>{links}</ul><div class='social-history wide'><p>Guilds and towns.</div><div class=search-results><a href=x>All results</a></div><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.<xmp><b>raw</b></xmp><div class=share-buttons><a href=s>Share</a></div><div class=ad>Buy</div></article></body>"
+    assert html_text.main_text(page) == f"Title {prose}" + " ".join(f"Link number {k}" for k in range(3)) + " Guilds and towns. Let x = 2 . <b>raw</b>"
+
+
+def test_densities_by_recursion():
+    import math
+
+    r = random.Random(41)
+
+    def made(depth):
+        """(html, characters, linked characters, tags, links, densities' tree) of a random node's content."""
+        parts, chars, linked, tags, links, kids = [], 0, 0, 0, 0, []
+        for _ in range(r.randrange(0, 5)):
+            if depth == 0 or r.random() < 0.4:
+                t = "x" * r.randrange(0, 30)
+                parts.append(t)
+                chars += len(t)
+            elif r.random() < 0.3:
+                t = "y" * r.randrange(0, 20)
+                parts.append(f"<a href=q>{t}</a>")
+                chars, linked, tags, links = chars + len(t), linked + len(t), tags + 1, links + 1
+                kids.append((len(t), len(t), 0, 0, []))
+            else:
+                h, c, lc, t, n, k = made(depth - 1)
+                parts.append(f"<div>{h}</div>")
+                chars, linked, tags, links = chars + c, linked + lc, tags + t + 1, links + n
+                kids.append((c, lc, t, n, k))
+        return "".join(parts), chars, linked, tags, links, kids
+
+    def density(c, lc, t, n, share):
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        t, n = max(t, 1), max(n, 1)
+        return c / t * math.log(max(c / max(lc, 1) * t / n, 1.0)) / max(math.log(base), 1e-3) if base > 1 else c / t
+
+    for _ in range(150):
+        h, c, lc, t, n, kids = made(4)
+        if not c:
+            continue
+        tree = html_text.Tree(f"<body>{h}</body>")
+        got, sums, chars, linked, _ = html_text.densities(tree)
+        share, at = lc / c, 1
+
+        def walk(c, lc, t, n, kids):
+            nonlocal at
+            k, at = at, at + 1
+            assert (chars[k], linked[k]) == (c, lc) and abs(got[k] - density(c, lc, t, n, share)) < 1e-9
+            of = [walk(*x) for x in kids]
+            assert abs(sums[k] - sum(of)) < 1e-9
+            return got[k]
+
+        walk(c, lc, t, n, kids)
+        assert at == len(tree.tag)
