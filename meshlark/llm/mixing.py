@@ -14,7 +14,8 @@ refused with an error, never cut off.
 Defined results: null and empty texts have no words and are never taken; a null
 source is a source of its own, the last; a document without any source belongs
 to the null source; rows that repeat id and text share a hash and are taken
-alike; an empty table gives an empty result; further columns don't matter.
+alike; an empty table gives an empty result; further columns don't matter, but
+for one named times, which `taken` replaces.
 """
 
 from __future__ import annotations

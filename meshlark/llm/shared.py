@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.tables import written
+
 #: Characters that end a word: blank and \t \n \v \f \r (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,20 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests) a folder below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it again: later steps survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meshlark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with a function that is made once for each task and yields batches for each batch."""
 
