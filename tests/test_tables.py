@@ -13,13 +13,14 @@ def test_tables_are_kept_until_discarded(spark):
     assert not os.path.exists(folder)
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
 
     class Session:
-        conf, sparkContext = spark.conf, Context()
+        conf, sparkContext = {"spark.sql.warehouse.dir": "w"}, Context()
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_dir(Session())
-    assert tables.shared_dir(spark)
+    Context.master = "local[4]"
+    assert tables.shared_dir(Session()) == "w" and tables.shared_dir(spark)
