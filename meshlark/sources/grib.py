@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,33 +32,48 @@ HEADER = (
 WITH_VALUES = HEADER + ", values array<double>"
 
 
+#: Values that are gathered in a batch before it goes to the JVM.
+BATCH_VALUES = 1 << 20
+
+
+def _lists(fields: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Arrays of values as one list column: a single field is passed on without a copy."""
+    sizes = [0 if v is None else len(v) for v in fields]
+    held = [v for v in fields if v is not None]
+    flat = held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0)
+    missing = pa.array([v is None for v in fields])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, kind.value_type), kind, mask=missing)
+
+
 def _batch(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in found], f.type) for f in schema], schema=schema)
+    columns = [_lists([r.get("values") for r in found], f.type) if f.name == "values" else pa.array([r.get(f.name) for r in found], f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def parsed(files: DataFrame, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None, rows_a_batch: int = 8) -> DataFrame:
-    """A row for each field of files (path, content)."""
-    schema = WITH_VALUES if payload else HEADER
+def parsed(files: DataFrame, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None, single: bool = False) -> DataFrame:
+    """A row for each field of files (path, content); single: values as 32-bit floats."""
+    schema = (WITH_VALUES.replace("values array<double>", "values array<float>") if single else WITH_VALUES) if payload else HEADER
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = []
+                held, size = [], 0
                 for row in messages.rows(path, content.as_py(), payload, mode, predefined):
                     held.append(row)
-                    if len(held) == (rows_a_batch if payload else 1000):
+                    size += len(row.get("values", ()))
+                    if len(held) == 1000 or size >= BATCH_VALUES:
                         yield _batch(held, arrow)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield _batch(held, arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def read(spark: SparkSession, path: str, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None) -> DataFrame:
-    """A row for each field of the files at a path; payload: with the array of values in storage order, NaN where missing."""
-    return parsed(spark.read.format("binaryFile").load(path), payload, mode, predefined)
+def read(spark: SparkSession, path: str, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None, single: bool = False) -> DataFrame:
+    """A row for each field of the files at a path; payload: with the array of values in storage order, NaN where missing; single: as 32-bit floats."""
+    return parsed(spark.read.format("binaryFile").load(path), payload, mode, predefined, single)
 
 
 def cells(fields: DataFrame) -> DataFrame:
