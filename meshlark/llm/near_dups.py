@@ -206,8 +206,8 @@ def _linked(whole: int) -> str:
     return f"{PART} * shared >= {whole} * (na + nb - shared)"
 
 
-def _corner(hub_pairs: DataFrame, whole: int) -> DataFrame:
-    """Pairs of a hub's members, one of them not linked to it, that can be linked without sharing a shingle outside the hub.
+def _corner(hub_pairs: DataFrame, whole: int) -> DataFrame | None:
+    """Pairs of a hub's members, one of them not linked to it, that can be linked without sharing a shingle outside the hub; None if there are none.
 
     With p shingles outside the hub and q of the hub's missing, such a pair
     differs in at least p1 + p2 + |q1 - q2| shingles. That is few enough only if
@@ -220,7 +220,7 @@ def _corner(hub_pairs: DataFrame, whole: int) -> DataFrame:
     spanned = spread_join(m, span, "a", "size")
     near = written(spanned.where(f"NOT linked AND {slack[0]} * (p + q - most_short) <= {slack[1]} * (n + most_n)").drop("most_short", "most_n"))
     if near.isEmpty():
-        return near.select(F.col("c").alias("a"), F.col("c").alias("b"))
+        return None
     x, y = _dealt(near, "c").alias("x"), _to_all(spanned.where("short > 0")).alias("y")
     met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.part") == F.col("y.part")) & F.expr(f"x.c <> y.c AND {slack[0]} * (x.p + y.p + abs(x.q - y.q)) <= {slack[1]} * (x.n + y.n)"))
     return met.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
@@ -293,9 +293,10 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole
         hub_pairs = seen.where("hub")
         any_hub = not hub_pairs.isEmpty()
         more = seen.where(_linked(whole)).select("a", "b")
-        if any_hub:
-            corner = written(_compared(_corner(hub_pairs, whole).withColumn("hub", F.lit(False)), texts, whole))
-            more = more.union(corner.where(_linked(whole)).select("a", "b"))
+        corner = _corner(hub_pairs, whole) if any_hub else None
+        if corner is not None:
+            compared_too = written(_compared(corner.withColumn("hub", F.lit(False)), texts, whole))
+            more = more.union(compared_too.where(_linked(whole)).select("a", "b"))
         more = written(more)
         if not more.isEmpty():
             edges = more if edges is None else edges.union(more)
