@@ -104,7 +104,7 @@ def _mode(spark: SparkSession, d: str) -> DataFrame:
     return sampling.mode(_sql(spark, d, POINTS), _sql(spark, d, _CLASSES).withColumn("value", F.col("value").cast("double")), "id")
 
 
-both("cubic_weight", "SELECT event_id AS id, (event_id % 500) / 1e2 - 25e-1 AS t FROM events", {"id": "id", "weight": g.cubic_weight("t")}, rounded=True, duck={"weight": "CASE WHEN abs(t) < 1 THEN 1 - 25e-1 * t * t + 15e-1 * abs(t) * t * t WHEN abs(t) < 2 THEN 2 - 4 * abs(t) + 25e-1 * t * t - 5e-1 * abs(t) * t * t ELSE 0e0 END"})
+both("cubic_weight", "SELECT event_id AS id, (event_id % 500) / 1e2 - 25e-1 AS t FROM events", {"id": "id", "weight": f"round({g.cubic_weight('t')}, 9) + 0e0"}, duck={"weight": "round(CASE WHEN abs(t) < 1 THEN 1 - 25e-1 * t * t + 15e-1 * abs(t) * t * t WHEN abs(t) < 2 THEN 2 - 4 * abs(t) + 25e-1 * t * t - 5e-1 * abs(t) * t * t ELSE 0e0 END, 9) + 0e0"})
 
 
 # --- tiles, boxes, single points
