@@ -152,8 +152,12 @@ def test_components(spark):
     for a, b in links:
         p, q = sorted((find(a), find(b)))
         parent[q] = p
-    got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+    table = spark.createDataFrame(links, "a long, b long")
+    for few in (components.FEW, 0):  # in one task, and by rounds
+        rows = components.components(table, few).collect()
+        got = {x.id: x.component for x in rows}
+        assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)} and len(got) == len(rows)
+    assert components.components(table.limit(0)).count() == 0
 
 
 def test_word_hashes_tell_words_apart():
@@ -448,6 +452,29 @@ def test_pipeline(spark, tmp_path):
     assert secret_scan.secret_report(corpus_pipeline.run(spark, str(tmp_path))).where("n_hex > 0").count() == 0
 
 
+def test_pipeline_stages_carry_odd_rows_and_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(18)
+    v = vocabulary(r)
+    prose = lambda n: " ".join(r.choice(v) for _ in range(n))
+    rows = [(k, prose(60), "en", "s0", 0, "x", 1, 2, 3.0) for k in range(30)]
+    rows += [rows[3], rows[3], (None, prose(60), None, None, None, None, None, None, None), (50, None, "en", "s0", 0, "x", 1, 2, 3.0), (51, "", None, "s0", 0, "x", 1, 2, 3.0), (52, prose(30_000), "en", None, 0, "x", 1, 2, 3.0)]
+    schema = "doc_id long, text string, lang string, source string, _op_kept int, kept string, component_id long, times int, _OP_h double"
+    docs = spark.createDataFrame(rows, schema).withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(1, None), (2, prose(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table_, texts in ((docs, 32), (docs.limit(0), 0)):
+        stage, counts = table_, []
+        for name, f in corpus_pipeline.STAGES:
+            stage = f(spark, stage, str(tmp_path))
+            assert [c for c in stage.columns if c != "times"] == [c for c in docs.columns if c != "times"], name
+            counts.append(stage.count())
+        assert counts[0] <= texts + 2 and counts[1] == counts[2] == counts[3] and counts[4] <= counts[3]
+        if texts:
+            kept = [x.doc_id for x in stage.collect()]
+            assert counts[0] >= 33 and counts[1] == counts[0] - 2 and len(set(kept)) == len(kept) and kept
+
+
 def test_registered_queries_have_sql_columns():
     from meshlark.llm import queries
 

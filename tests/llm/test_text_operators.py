@@ -203,6 +203,7 @@ def test_urls(spark):
     con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     con.executemany("INSERT INTO pages VALUES (?, ?)", [(k, u) for k, u in enumerate(URLS)] + [(0, None)])
     assert got == sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.oracle()})").fetchall())
+    assert url_filter.url_report(pages.limit(0)).count() == 0
     by = {r[0]: r for r in got}
     assert by[5][3:] == ("example.org/es/", "block") and by[8][3:] == ("example.org/en/1", "block") and by[4][3] is None and by[10][4] == "block" and by[11][4] == "allow"
     for r in url_filter.url_report(pages).collect():
@@ -255,7 +256,7 @@ def test_tokens(spark):
     merger = token_counts.merger_of(model)
     assert merger.count(texts) == [len(x) for x in library.encode(texts)]
     got = token_counts.token_counts(docs(spark), model).collect()
-    assert len(got) == len(TEXTS) + 2
+    assert len(got) == len(TEXTS) + 2 and token_counts.token_counts(docs(spark).limit(0), model).count() == 0
     for r in got:
         t = "no id here" if r.doc_id is None else TEXTS[r.doc_id] or ""
         n = len(library.encode(t))
