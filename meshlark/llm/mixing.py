@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import WORD, small_side, written
+from .shared import WORD, carries, small_side, written
 
 SEED = 20_240_601
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -102,16 +102,16 @@ def routed(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: i
     return {p: {s: flow[k, number[s]] for s in p if flow.get((k, number[s]))} for k, p in enumerate(keys)}
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, most_patterns: int = 50_000) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
-    """The documents with size, members (their sources) and times taken, the words of each source and the targets.
-
-    sources: an array of the sources of a document; by default its column source.
-    """
-    spark = docs.sparkSession
+def _marked(docs: DataFrame, id_col: str, text_col: str, sources: Column | None, seed: int) -> dict[str, Column]:
+    """The helper columns of a document: _op_members (its sources), _op_size (words) and _op_h (its seeded hash)."""
     members = F.array(F.col("source")) if sources is None else sources
     members = F.when(F.size(members) > 0, F.array_distinct(members)).otherwise(F.array(F.lit(None).cast("string")))
-    marked = docs.select(F.col(id_col), F.array_sort(members).alias("members"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
-    facts = written(marked)
+    return {"_op_members": F.array_sort(members), "_op_size": word_count(F.col(text_col)), "_op_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))}
+
+
+def _planned(facts: DataFrame, weights: tuple[float, ...], share: float, repeats: int, most_patterns: int) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
+    """What each pattern gives: full repetitions, and the place in the order of hashes up to which documents are taken once more; the words of each source and the targets. facts: members, size, h."""
+    spark = facts.sparkSession
     rows = facts.groupBy("members").agg(F.sum("size").alias("size")).limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
@@ -131,11 +131,27 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     schema = "members array<string>, full int, rest long"
     table = spark.createDataFrame(plan, schema) if plan else spark.createDataFrame([], schema)
     cut = _cuts(facts, table)
-    at, keys = F.col("members"), cut.select(F.col("members").alias("p_members"), "full", "b1", "b2", "low")
-    h1, h2, low = _parts(F.col("h"))
-    extra = (h1 < F.col("b1")) | ((h1 == F.col("b1")) & ((h2 < F.col("b2")) | ((h2 == F.col("b2")) & (low <= F.col("low")))))
-    out = facts.join(F.broadcast(keys), at.eqNullSafe(F.col("p_members")), "left")  # a row for each pattern: at most most_patterns
-    return out.withColumn("times", F.col("full") + F.coalesce(extra, F.lit(False)).cast("int")).select(id_col, "members", "size", "h", "times"), sizes, goal
+    return cut.select(*(F.col(c).alias(f"_op_p_{c}") for c in cut.columns)), sizes, goal
+
+
+def _timed(rows: DataFrame, cut: DataFrame, members: str, h: str, name: str) -> DataFrame:
+    """rows with the times each is taken; they meet what their pattern gives by a broadcast, so that no text is moved."""
+    h1, h2, low = _parts(F.col(h))
+    b1, b2, last = (F.col(f"_op_p_{c}") for c in ("b1", "b2", "low"))
+    extra = (h1 < b1) | ((h1 == b1) & ((h2 < b2) | ((h2 == b2) & (low <= last))))
+    out = rows.join(F.broadcast(cut), F.col(members).eqNullSafe(F.col("_op_p_members")), "left")  # a row for each pattern: at most most_patterns
+    return out.withColumn(name, F.col("_op_p_full") + F.coalesce(extra, F.lit(False)).cast("int")).drop(*cut.columns)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, most_patterns: int = 50_000) -> tuple[DataFrame, dict[str | None, int], dict[str | None, float]]:
+    """The documents with size, members (their sources) and times taken, the words of each source and the targets.
+
+    sources: an array of the sources of a document; by default its column source.
+    """
+    marks = _marked(docs, id_col, text_col, sources, seed)
+    facts = written(docs.select(F.col(id_col), *(c.alias(k.removeprefix("_op_")) for k, c in marks.items())))
+    cut, sizes, goal = _planned(facts, weights, share, repeats, most_patterns)
+    return _timed(facts, cut, "members", "h", "times").select(id_col, "members", "size", "h", "times"), sizes, goal
 
 
 def _parts(h: Column) -> tuple[Column, Column, Column]:
@@ -182,9 +198,11 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(id_col, "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
-def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the mix takes, with the number of times."""
-    mix, _, _ = mixed(docs.select(id_col, text_col, "source"), id_col, text_col)
-    chosen = mix.where("times > 0 AND size > 0").groupBy(F.col(id_col).alias("_op_id"), F.col("h").alias("_op_h")).agg(F.max("times").alias("_op_times"))
-    h = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col))
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_op_id"]) & (h == chosen["_op_h"])).select(*(c for c in docs.columns if c != "times"), F.col("_op_times").alias("times"))
+@carries
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, most_patterns: int = 50_000) -> DataFrame:
+    """The rows of docs that the mix takes, with the number of times: a pass for the sums and one for the rows, no shuffle of texts."""
+    marks = _marked(docs, id_col, text_col, None, seed)
+    facts = written(docs.select(*(c.alias(k.removeprefix("_op_")) for k, c in marks.items())))
+    cut, _, _ = _planned(facts, weights, share, repeats, most_patterns)
+    timed = _timed(docs.withColumns(marks), cut, "_op_members", "_op_h", "_op_times").where("_op_times > 0 AND _op_size > 0")
+    return timed.select(*(c for c in docs.columns if c != "times"), F.col("_op_times").alias("times"))
