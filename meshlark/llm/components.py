@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import spread_join, written
 
-#: Up to so many links (some 30 MB) one task joins them.
-FEW = 200_000
+#: Up to so many links (some 300 MB) one task joins them.
+FEW = 2_000_000
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -21,26 +22,20 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, component) of all links (u, v) of a task, by union-find; the least id is the root."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    ids = sorted(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], ["id", "component"])
+    """(id, component) of all links (u, v) of a task, by union-find on arrays; the least id is the root."""
+    parts = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))
+    ids = np.unique(np.concatenate((u, v)))
+    u, v = np.searchsorted(ids, u), np.searchsorted(ids, v)
+    root = np.arange(len(ids))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[root], pa.int64())], ["id", "component"])
 
 
 def components(links: DataFrame, few: int = FEW) -> DataFrame:

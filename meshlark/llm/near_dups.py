@@ -12,8 +12,11 @@
    hub can be linked to anything else only by sharing shingles outside the hub
    (or, if shorter than the hub, by the counts in `_corner`), so these shingles
    are the keys of new buckets, and the rest follows in rounds until no bucket
-   holds two components. No pair of a bucket is lost, and pairs grow with the
-   documents, not with the squares of the groups.
+   holds two components. From the second round on, pairs that the small buckets
+   leave of the budget go to further hubs: members that are compared with all
+   others of their hub and then leave, so that many unlike copies of one text
+   don't take a round for each. No pair of a bucket is lost, and pairs grow with
+   the documents, not with the squares of the groups.
 5. Links are confirmed on the full sets; components are joined by union-find.
 
 A pair that meets the threshold is missed only if no band agrees: 4e-7 at
@@ -267,6 +270,23 @@ def _hubs(big: DataFrame) -> DataFrame:
     return dealt.join(widened, ["key", "part"]).select((-F.col("best.least")).alias("a"), F.col("cid").alias("b")).where("a <> b").distinct()
 
 
+def _further(hubs: DataFrame, mixed: DataFrame, most: int, whole: int) -> tuple[DataFrame, DataFrame] | None:
+    """Further hubs (a, b) among the members b of each hub a, and the pairs (a, b) of them and the other members of a whose sizes and components allow a link; None if `most`, the number of pairs about, isn't enough for one.
+
+    Every hub has as many of them, found by a hash; if its members are no more, all their pairs are there.
+    """
+    each = most // max(1, hubs.count())
+    if each < 1:
+        return None
+    sized = written(hubs.groupBy("a").agg(F.count("*").alias("size")))
+    told = mixed.select(F.col("cid").alias("b"), "n", "component").distinct()
+    members = written(spread_join(hubs, sized, "a", "size").join(told, "b").select("a", "b", "n", "component", "size"))
+    chosen = written(members.where(f"pmod(xxhash64(a, b), size) < {each}"))
+    x, y = _dealt(members, "b").alias("x"), _to_all(chosen).alias("y")
+    met = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.part") == F.col("y.part")) & F.expr(f"x.component <> y.component AND {PART} * least(x.n, y.n) >= {whole} * greatest(x.n, y.n)"))
+    return chosen.select("a", "b"), met.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+
+
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole: int = WHOLE) -> DataFrame:
     """(id, component) of the classes (cid, n, th, bands) that are linked to another."""
     spark = docs.sparkSession
@@ -287,8 +307,14 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole
         if compared is not None and hubs.join(compared, ["a", "b"], "left_anti").isEmpty():
             # no hub is new to any member: the rounds would go on for ever, so what is left gives its pairs
             upto, hubs = mixed.agg(F.max("size")).first()[0], hubs.limit(0)
+        small, further = _pairs(mixed.where(F.col("size") <= upto), whole), None
+        if compared is not None and not hubs.isEmpty():
+            small = written(small)
+            further = _further(hubs, mixed, budget - small.count(), whole)
+            if further is not None:
+                small = small.union(further[1]).distinct()
         compared = hubs if compared is None else compared.union(hubs)
-        small = _pairs(mixed.where(F.col("size") <= upto), whole).withColumn("hub", F.lit(False))
+        small = small.withColumn("hub", F.lit(False))
         seen = written(_compared(small.union(hubs.withColumn("hub", F.lit(True))), texts, whole))
         hub_pairs = seen.where("hub")
         any_hub = not hub_pairs.isEmpty()
@@ -303,6 +329,8 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, whole
             found = written(components(edges))
         if not any_hub:
             break
+        if further is not None:
+            hub_pairs = hub_pairs.join(further[0], ["a", "b"], "left_anti")
         next_ = hub_pairs.select("a", F.col("b").alias("cid"), F.col("nb").alias("n"), F.explode("own").alias("token")).select("cid", "n", F.xxhash64("a", "token").alias("key"))
         again = written(next_.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
         members = written(spread_join(next_, again, "key", "size").select("cid", "n", "key").distinct())

@@ -115,6 +115,43 @@ def test_pipeline_links_at_four_fifths(spark):
     assert {x.doc_id: x.component_id for x in got} == at
 
 
+def test_many_unlike_copies_take_few_rounds(spark, monkeypatch):
+    r = random.Random(21)
+    v = vocabulary(r)
+    base = [r.choice(v) for _ in range(150)]
+    family = []
+    for k in range(60):  # of one text, nearly all too far from each other to be linked
+        w = list(family[k - 1] if k % 10 == 9 else base)
+        for _ in range(2 if k % 10 == 9 else 10):
+            w[r.randrange(len(w))] = r.choice(v)
+        family.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(family)] + [(1000 + i, f"{i} alone") for i in range(2500)]
+    sets = {i: shingles(t) for i, t in rows[:60]}
+    want = {}
+    for k in range(9, 60, 10):
+        assert len(sets[k - 1] & sets[k]) * 100 >= 80 * len(sets[k - 1] | sets[k])
+        want |= {k - 1: k - 1, k: k - 1}
+    assert sum(len(x & y) * 100 >= 80 * len(x | y) for x, y in itertools.combinations(sets.values(), 2)) == len(want) // 2
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    bands = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda b: F.when(F.col("doc_id") < 60, -b).otherwise(F.col("doc_id") * 25 + b).cast("long"))
+    classes = docs.select(F.col("doc_id").alias("cid"), F.xxhash64("text").alias("th"), F.size(F.split("text", " ")).cast("long").alias("n"), bands.alias("bands"))
+    rounds, one = [], near_dups._with_components
+    monkeypatch.setattr(near_dups, "_with_components", lambda *a: rounds.append(1) or one(*a))
+    assert {x.id: x.component for x in near_dups.links(classes, docs, "doc_id", "text", 80).collect()} == want
+    assert len(rounds) <= 3
+
+
+def test_links_beyond_a_few_hundred_thousand_are_joined_in_one_task(spark):
+    n = 250_000  # a path of 150,000 nodes in mixed order, and stars
+    order = np.random.default_rng(5).permutation(150_000)
+    ends = [(order[:-1], order[1:]), (200_000 + np.arange(n - 149_999), 200_000 + np.arange(n - 149_999) // 10 * 10 + 9)]
+    u, v = (np.concatenate([x[k] for x in ends]) for k in (0, 1))
+    rows = components.components(spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "a long, b long"))
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    got = {x.id: x.component for x in rows.collect()}
+    assert all(got[k] == (0 if k < 200_000 else k // 10 * 10) for k in got) and len(got) > 240_000
+
+
 def test_near_duplicates_without_links(spark):
     assert near_dups.near_duplicates(table(spark, [(1, None, "s")]).limit(0)).count() == 0
     got = near_dups.near_duplicates(table(spark, [(1, "a b c d e f", "s"), (2, "g h i", "s")])).collect()
