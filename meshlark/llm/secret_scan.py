@@ -6,12 +6,13 @@ says that a document's lower-cased text contains a trigram. Postings are
 intersected and united as the queries say, and only candidates are verified with
 a rule's pattern. A rule without mandatory trigrams scans every text.
 
-The postings can be had in two orders. By document they are made beside the
-text, and only as far as a query needs them, so that neither texts nor postings
-are shuffled; this is how `scanned` works by itself. By trigram (`postings`, an
-inverted index as a table) they can be stored once for any number of scans:
-`scanned` then takes the candidates from the index, grouped by document, and
-joins them to the documents, which is a broadcast up to MOST_SENT candidates.
+The postings can be had in two orders. By trigram (`postings`, an inverted index
+as a table, each part of it in the order of trigrams) they are stored once for
+any number of scans: `scanned` then takes the candidates from the index, grouped
+by document, and joins them to the documents, which is a broadcast up to
+MOST_SENT candidates; `secret_report` works so. By document they are made beside
+the text, and only as far as a query needs them, so that neither texts nor
+postings are shuffled; this is how `scanned` works without an index.
 
 Defined results: null and empty texts have no spans; a document whose id is
 null is matched null-safely; rows that repeat an id share its postings in a
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import carries, small_side
+from .shared import carries, small_side, written
 from .spans import found, literal, told
 
 _parser = re._parser  # the standard library's pattern parser
@@ -37,8 +38,8 @@ _parser = re._parser  # the standard library's pattern parser
 FOLLOW = 24
 #: Of trigrams that must all be there, so many of the rarest are asked for.
 RAREST = 3
-#: Candidates of a stored index that are broadcast at most.
-MOST_SENT = 100_000
+#: Candidates of a stored index that are broadcast at most (some 100 bytes each); beyond, texts are shuffled to meet them.
+MOST_SENT = 500_000
 #: Letters by how common they are in English (fixed order); other characters are taken to be rarer.
 _COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 
@@ -214,9 +215,11 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row, by an index that is written first."""
     base = ", ".join(f"'{r.kind}'" for r in BASE)
-    found_in = scanned(docs.select(id_col, text_col), id_col=id_col, text_col=text_col).select(id_col, "secret_spans")
+    texts = docs.select(id_col, text_col)
+    index = written(postings(texts, wanted(BASE + MORE)[1], id_col, text_col).sortWithinPartitions("trigram"))
+    found_in = scanned(texts, id_col=id_col, text_col=text_col, index=index).select(id_col, "secret_spans")
     counts = [F.expr(f"CAST(size(filter(secret_spans, s -> s.kind = '{r.kind}')) AS LONG)").alias(f"n_{r.kind}") for r in BASE]
     only = f"filter(secret_spans, s -> s.kind IN ({base}))"
     return found_in.select(id_col, *counts, F.sha2(F.expr(told(only)), 256).alias("base_sha256"), F.expr(told("secret_spans")).alias("spans"))

@@ -116,6 +116,19 @@ def test_a_stored_index_gives_the_same_spans(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_the_report_takes_its_candidates_from_the_index(spark, monkeypatch):
+    d = docs(spark, SECRET_TEXTS).union(docs(spark, ["token=abcdefg"]).limit(1))
+    want = sorted(secret_scan.scanned(d).selectExpr("doc_id", "array_join(transform(secret_spans, s -> concat(s.kind, ':', s.start, ':', s.stop)), ',') AS spans").collect(), key=str)
+    got = secret_scan.secret_report(d)
+    assert sorted(got.select("doc_id", "spans").collect(), key=str) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
+    whole = secret_scan.postings
+    monkeypatch.setattr(secret_scan, "postings", lambda *a: whole(*a).where("_op_posting <> 2"))  # what isn't in the index is no candidate
+    by = {r.doc_id: r for r in secret_scan.secret_report(d).where("doc_id IN (2, 4)").collect()}
+    assert (by[2].n_assign, by[2].n_hex) == (0, 1) and by[4].n_assign == 2
+
+
 def test_trigram_queries_hold_for_every_match():
     q = secret_scan.trigram_query
     assert q("[0-9a-f]{24,}") is True and q("ab") is True
