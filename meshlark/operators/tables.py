@@ -29,6 +29,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores by a key: for costly steps on rows that a scan gives in few tasks, such as small files of one row group."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def discard() -> None:
     """Deletes all tables of written(), once what was read from them isn't needed any more."""
     while _made:

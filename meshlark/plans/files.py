@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dense, fields
+from ..operators.tables import spread
 from ..sources import encoder, grib
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +88,7 @@ def queries(sql_of: Callable[[SparkSession, str], Callable[[str], DataFrame]]) -
     base = f"SELECT c_custkey AS id, {', '.join(f'{v} AS {k}' for k, v in columns.items())}, TIMESTAMP '2024-01-31 06:00:00' AS reference_time, array_of_values AS vals FROM customer"
 
     def headers(spark: SparkSession, d: str) -> DataFrame:
-        rows = sql_of(spark, d)(base.replace("array_of_values", "array(1e0, CASE WHEN c_custkey % 2 = 0 THEN 2e0 END)").replace(" AS vals", " AS `values`"))
+        rows = spread(sql_of(spark, d)(base.replace("array_of_values", "array(1e0, CASE WHEN c_custkey % 2 = 0 THEN 2e0 END)").replace(" AS vals", " AS `values`")), "id")
         rows = _grid(rows, time_unit="CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END", grid_template=0, ni=2, nj=1, scan=0, la1=50.0, lo1=5.0, la2=50.0, lo2=6.0, di=1.0, dj=1.0)
         heads = fields.catalogued(_read(encoder.singles(rows, ["id"], "ieee64"), "id", payload=False))
         key = F.concat_ws(".", *(F.col(f"parameter_key.{k}") for k in ("centre", "subcentre", "master_table", "local_table", "discipline", "category", "number", "product_template")))

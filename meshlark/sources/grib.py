@@ -50,23 +50,26 @@ def _batch(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _gathered(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of all files: a batch of so many columns costs as much as the rows of many small files."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get("values", ()))
+        if len(held) == 1000 or size >= BATCH_VALUES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 def parsed(files: DataFrame, payload: bool = False, mode: str = "FAILFAST", predefined: dict[int, bytes] | None = None, single: bool = False) -> DataFrame:
     """A row for each field of files (path, content); single: values as 32-bit floats."""
     schema = (WITH_VALUES.replace("values array<double>", "values array<float>") if single else WITH_VALUES) if payload else HEADER
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held, size = [], 0
-                for row in messages.rows(path, content.as_py(), payload, mode, predefined):
-                    held.append(row)
-                    size += len(row.get("values", ()))
-                    if len(held) == 1000 or size >= BATCH_VALUES:
-                        yield _batch(held, arrow)
-                        held, size = [], 0
-                if held:
-                    yield _batch(held, arrow)
+        return _gathered((row for batch in batches for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for row in messages.rows(path, content.as_py(), payload, mode, predefined)), arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 

@@ -106,3 +106,22 @@ def test_encoding_tables(spark, tmp_path):
     made = e.encoded(df, "g", "k").collect()
     found = list(messages.rows("f", bytes(made[0]["message"]), True))
     assert [r["number"] for r in found] == [0, 1, 2] and np.allclose(found[0]["values"], np.arange(91), atol=0.01)
+
+
+def test_small_files_share_batches(spark):
+    import itertools
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from meshlark.operators.tables import spread
+
+    one = e.message([e.Field(latlon(), noisy())])
+    rows = (r for k in range(2500) for r in messages.rows(str(k), one, False))
+    sizes = [b.num_rows for b in grib._gathered(rows, to_arrow_schema(StructType.fromDDL(grib.HEADER)))]
+    assert sizes == [1000, 1000, 500]
+    files = spark.createDataFrame([(str(k), bytearray(one)) for k in range(30)], "path string, content binary")
+    assert sorted(int(r.file) for r in grib.parsed(files.coalesce(1)).collect()) == list(range(30))
+    values = [b for b in grib._gathered(itertools.chain(messages.rows("a", one, True), messages.rows("b", one, True)), to_arrow_schema(StructType.fromDDL(grib.WITH_VALUES)))]
+    assert len(values) == 1 and [len(v) for v in values[0].column("values").to_pylist()] == [91, 91]
+    assert spread(files.coalesce(1), "path").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
