@@ -1,11 +1,11 @@
 """Unstructured meshes: coordinates by identifier, nearest cells, masks and maps from tiles to cells.
 
 mesh: uuid, cell, lat, lon (and masked). Nearest cells are found by an equi-join
-of cubes that the unit sphere is cut into. A query first searches the cubes
-around its own; what lies elsewhere is at least a cube's edge away, so queries
-that found nothing so near search again in cubes of twice the edge, up to those
-that hold the whole sphere, or up to the greatest distance asked for. The result
-is exact; of equally near cells the least number wins. Each round's open queries
+of cubes that the unit sphere is cut into, of an edge that leaves few cells in
+each however many there are. A query first searches the cubes around its own;
+what lies elsewhere is at least a cube's edge away, so queries that found nothing
+so near search again in cubes of twice the edge, up to those that hold the whole
+sphere, or up to the greatest distance asked for. The result is exact; of equally near cells the least number wins. Each round's open queries
 are a table, so that no round computes the ones before again.
 """
 
@@ -74,32 +74,51 @@ def bucket_rows(cells: int) -> int:
     return int(min(max(round((cells / 16) ** 0.5), 4), 4096))
 
 
+#: Cells of an evenly spread mesh in a square of the first cubes' edge: 1 point in 500 finds none so near and goes on to the next round.
+CELLS_A_CUBE = 2
+
+#: More points than these aren't broadcast: each asks for up to 27 cubes, which the planner doesn't see.
+BROADCAST_POINTS = 10_000
+
+
+def first_edge(cells: int, n_lat: int) -> float:
+    """The first cubes' edge: that of a row of n_lat from pole to pole, or finer as the mesh is, so that what a point meets doesn't grow with it."""
+    return max(min(2 * math.sin(math.pi / (2 * n_lat)), math.sqrt(4 * math.pi * CELLS_A_CUBE / max(cells, 1))), 1e-6)
+
+
 def nearest_cells(points: DataFrame, mesh: DataFrame, id_col: str, n_lat: int, max_metres: float | None = None) -> DataFrame:
     """(id, cell, d2, masked): the nearest cell of each point by squared chord; cell is null if it is masked or further than max_metres.
 
     points: id, lat, lon, and uuid if mesh holds several meshes: then each point
-    is answered from its own. n_lat sets the first cubes' edge, a row of so many
-    from pole to pole. Points whose mesh has no cell give nulls.
+    is answered from its own. n_lat sets the first cubes' greatest edge, a row of
+    so many from pole to pole; larger meshes have finer ones. Points whose mesh
+    has no cell give nulls.
     """
     x, y, z = unit_vector("lat", "lon")
     own = ["uuid"] if "uuid" in points.columns and "uuid" in mesh.columns else []
     masked = F.col("masked") if "masked" in mesh.columns else F.lit(False)
     cells = mesh.select(*own, "cell", F.expr(x).alias("mx"), F.expr(y).alias("my"), F.expr(z).alias("mz"), masked.alias("masked"))
     left = points.select(id_col, *own, F.expr(x).alias("px"), F.expr(y).alias("py"), F.expr(z).alias("pz"))
-    edge, done = max(2 * math.sin(math.pi / (2 * n_lat)), 1e-6), None
+    most = mesh.groupBy(*own).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    edge, done, many = first_edge(most or 0, n_lat), None, left.count() > BROADCAST_POINTS
     limit = 2 * math.sin(min(max_metres / (2 * RADIUS), math.pi / 2)) if max_metres and max_metres > 0 else None
-    cube = lambda v, k: F.expr(f"CAST(floor({v} / {edge!r}e0) AS INT) + {k}")
+    cube = lambda v: F.floor(F.col(v) / F.lit(edge)).cast("int")
     while True:
         # cubes of edge 2 hold the sphere, and none further than the greatest distance matters
         last = edge >= 2 or limit is not None and edge >= limit
         around = left.withColumn("near", F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> flatten(transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a, b, c))))))")))
-        asked = around.select(id_col, *own, "px", "py", "pz", *(cube(f"p{v}", f"near.{n}").alias(f"k{v}") for v, n in zip("xyz", "abc", strict=True)))
-        held = cells.select("*", *(cube(f"m{v}", 0).alias(f"k{v}") for v in "xyz"))
+        asked = around.select(id_col, *own, "px", "py", "pz", *((cube(f"p{v}") + F.col(f"near.{n}")).alias(f"k{v}") for v, n in zip("xyz", "abc", strict=True)))
+        # a cube that holds part of the sphere has its centre within half its diagonal of it
+        away = F.sqrt(sum(((F.col(f"k{v}") + 0.5) * F.lit(edge)) ** 2 for v in "xyz"))
+        asked = asked.where(F.abs(away - 1) <= 0.8661 * edge + 1e-9)
+        if many:
+            asked = asked.hint("merge")
+        held = cells.select("*", *(cube(f"m{v}").alias(f"k{v}") for v in "xyz"))
         d2 = F.expr("(px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)").alias("d2")
         met = asked.join(held, [*own, "kx", "ky", "kz"]).select(id_col, d2, "cell", "masked")
         best = met.groupBy(id_col).agg(F.min(F.struct("d2", "cell", "masked")).alias("b"))
         seen = left.join(best, id_col, "left")
-        near = F.expr(f"coalesce(b.d2 <= {edge * edge!r}e0, FALSE)")
+        near = F.coalesce(F.col("b.d2") <= F.lit(edge * edge), F.expr("px + py + pz IS NULL"))  # a point that is nowhere has no nearest cell
         if last:
             now = seen.select(id_col, "b.cell", "b.d2", "b.masked")
             done = now if done is None else done.unionByName(now)
@@ -108,9 +127,10 @@ def nearest_cells(points: DataFrame, mesh: DataFrame, id_col: str, n_lat: int, m
         now = seen.where("settled").select(id_col, "b.cell", "b.d2", "b.masked")
         done = now if done is None else done.unionByName(now)
         left = seen.where("NOT settled").drop("b", "settled")
-        if left.isEmpty():
+        left_over = left.count()
+        if not left_over:
             break
-        edge *= 2
+        edge, many = edge * 2, left_over > BROADCAST_POINTS
     keep = "NOT masked" + (f" AND d2 <= {chord2(f'{max_metres!r}e0')}" if max_metres and max_metres > 0 else "")
     return done.select(id_col, F.expr(f"CASE WHEN {keep} THEN cell END").alias("cell"), "d2", "masked")
 

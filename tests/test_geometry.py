@@ -136,6 +136,25 @@ def test_nearest_cells_are_exact(spark):
     assert held == {k: None if c % 7 == 0 else c for k, c in enumerate(best.tolist())}
 
 
+def test_cubes_are_as_fine_as_the_mesh(spark):
+    ratio = [meshes.first_edge(n, 12) ** 2 * n / (4 * np.pi) for n in (10**4, 10**6, 10**8)]  # cells in a square of the edge
+    assert np.allclose(ratio, meshes.CELLS_A_CUBE) and meshes.first_edge(0, 12) == meshes.first_edge(10, 12) == 2 * np.sin(np.pi / 24)
+    n = 20_000
+    lat, lon = np.degrees(np.arcsin(R.uniform(-1, 1, n))), R.uniform(-180, 180, n)
+    mesh = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon, strict=True))], "cell long, lat double, lon double")
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat[:300] + 0.1, lon[:300] + 0.1, strict=True))] + [(300, None, 0.0)], "id long, lat double, lon double")
+    unit = lambda a, b: np.stack([np.cos(np.radians(a)) * np.cos(np.radians(b)), np.cos(np.radians(a)) * np.sin(np.radians(b)), np.sin(np.radians(a))], -1)
+    best = ((unit(lat[:300] + 0.1, lon[:300] + 0.1)[:, None] - unit(lat, lon)[None]) ** 2).sum(-1).argmin(1)
+    found = meshes.nearest_cells(points, mesh, "id", 12)
+    assert {r.id: r.cell for r in found.collect()} == dict(enumerate(best.tolist())) | {300: None}
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_few_and_many_points_give_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(meshes, "BROADCAST_POINTS", most)
+    test_nearest_cells_are_exact(spark)
+
+
 def test_differences_pass_over_missing_rows(spark):
     x = [5, None, 2, 3, None, 4]
     df = spark.createDataFrame([(0, k, v) for k, v in enumerate(x)], "f int, k int, x int")
