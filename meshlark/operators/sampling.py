@@ -40,17 +40,32 @@ def bicubic_sql(values: list[str], near: str, dx: str = "dx", dy: str = "dy") ->
     return f"(CASE WHEN {' OR '.join(f'{v} IS NULL' for v in values)} OR ({total}) = 0 THEN {near} ELSE ({summed}) / ({total}) END)"
 
 
+#: Cells a side of the blocks that bicubic joins; with the taps of their border points SIDE a side.
+BLOCK = 8
+SIDE = BLOCK + 3
+
+
+def _blocks(cells: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bu, bv, around): the values of the asked blocks (keys, bu, bv) and of their border as SIDE x SIDE places, row by row."""
+    # a cell stands in its own block and in the border of the ones beside it
+    both = lambda c: f"explode(array_distinct(array(CAST(floor(({c} - 2) / {BLOCK}) AS INT), CAST(floor(({c} + 1) / {BLOCK}) AS INT))))"
+    held = cells.where("value IS NOT NULL AND i IS NOT NULL AND j IS NOT NULL").select(*keys, "i", "j", "value")
+    dealt = held.withColumn("bu", F.expr(both("i"))).withColumn("bv", F.expr(both("j"))).join(asked.distinct(), [*keys, "bu", "bv"], "left_semi")
+    entry = F.struct(F.expr(f"CAST((j - {BLOCK} * bv + 1) * {SIDE} + i - {BLOCK} * bu + 1 AS INT)").alias("place"), "value")
+    listed = dealt.groupBy(*keys, "bu", "bv").agg(F.collect_list(entry).alias("held"))
+    return listed.select(*keys, "bu", "bv", F.expr(f"transform(sequence(0, {SIDE * SIDE - 1}), k -> array_max(transform(filter(held, h -> h.place = k), h -> h.value)))").alias("around"))
+
+
 def bicubic(points: DataFrame, cells: DataFrame, id_col: str, keys: list[str] = ()) -> DataFrame:
-    """(keys, id, value): 4 by 4 Catmull-Rom resampling. The taps of a point are gathered by one join and pivoted by one aggregate."""
+    """(keys, id, value): 4 by 4 Catmull-Rom resampling. A point moves once, to the block of cells that holds its taps."""
     keys = list(keys)
-    placed = points.select(*keys, id_col, "fx", "fy", F.explode(F.expr("sequence(0, 15)")).alias("tap"))
-    taps = placed.withColumn("ti", F.expr("CAST(floor(fx) AS INT) - 1 + tap % 4")).withColumn("tj", F.expr("CAST(floor(fy) AS INT) - 1 + CAST(floor(tap / 4) AS INT)"))
-    near = F.expr(f"ti = CAST({half_up('fx')} AS INT) AND tj = CAST({half_up('fy')} AS INT)")
-    pivoted = _gathered(taps, cells, keys).groupBy(*keys, id_col).agg(
-        F.first("fx").alias("fx"), F.first("fy").alias("fy"), F.max(F.when(near, F.col("value"))).alias("near"), *(F.max(F.when(F.col("tap") == k, F.col("value"))).alias(f"v{k}") for k in range(16))
-    )
-    moved = pivoted.withColumn("dx", F.expr("fx - floor(fx)")).withColumn("dy", F.expr("fy - floor(fy)"))
-    return moved.select(*keys, id_col, F.expr(bicubic_sql([f"v{k}" for k in range(16)], "near")).alias("value"))
+    placed = points.select(*keys, id_col, "fx", "fy", *(F.expr(f"CAST(floor(CAST(floor({c}) AS INT) / {BLOCK}) AS INT)").alias(n) for n, c in (("bu", "fx"), ("bv", "fy"))))
+    met = placed.join(_blocks(cells, placed.select(*keys, "bu", "bv"), keys), [*keys, "bu", "bv"], "left")
+    place = lambda x, y: f"({y} - {BLOCK} * bv + 1) * {SIDE} + {x} - {BLOCK} * bu + 1"
+    tap = lambda k: place(f"CAST(floor(fx) AS INT) - 1 + {k % 4}", f"CAST(floor(fy) AS INT) - 1 + {k // 4}")
+    near = place(f"CAST({half_up('fx')} AS INT)", f"CAST({half_up('fy')} AS INT)")
+    taps = met.select(*keys, id_col, F.expr("fx - floor(fx)").alias("dx"), F.expr("fy - floor(fy)").alias("dy"), F.expr(f"get(around, {near})").alias("near"), *(F.expr(f"get(around, {tap(k)})").alias(f"v{k}") for k in range(16)))
+    return taps.select(*keys, id_col, F.expr(bicubic_sql([f"v{k}" for k in range(16)], "near")).alias("value"))
 
 
 def mode(points: DataFrame, cells: DataFrame, id_col: str, keys: list[str] = (), half: int = 1) -> DataFrame:

@@ -136,6 +136,24 @@ def test_nearest_cells_are_exact(spark):
     assert held == {k: None if c % 7 == 0 else c for k, c in enumerate(best.tolist())}
 
 
+def test_bicubic_moves_a_point_once(spark):
+    cells = spark.createDataFrame([(i, j, float(i + 100 * j)) for i in range(-12, 20) for j in range(-12, 20) if (i, j) != (5, 5)], "i int, j int, value double")
+    pts = [(k, float(x), float(y)) for k, (x, y) in enumerate(R.uniform(-11, 18, (400, 2)))] + [(400, None, 1.0), (401, 500.0, 1.0), (402, 7.0, -8.0), (403, -0.5, 8.0)]
+    points = spark.createDataFrame(pts, "id long, fx double, fy double")
+    df = sampling.bicubic(points, cells, "id")
+    got = {r.id: r.value for r in df.collect()}
+    assert len(got) == 404 and got[400] is None and got[401] is None and got[402] == 7 - 800
+    for k, x, y in pts[:400]:
+        a, b = math.floor(x), math.floor(y)
+        if a - 1 < -12 or b - 1 < -12 or a + 2 > 19 or b + 2 > 19 or a - 1 <= 5 <= a + 2 and b - 1 <= 5 <= b + 2:
+            i, j = (int(math.copysign(math.floor(abs(v) + 0.5), v)) for v in (x, y))
+            assert got[k] == (None if (i, j) == (5, 5) else i + 100 * j)
+        else:
+            assert abs(got[k] - (x + 100 * y)) < 1e-9  # the kernel keeps linear fields
+    # a row for each point, not for each of its 16 taps, meets the cells
+    assert not any("sequence(0, 15" in line or "0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15" in line.replace(" ", "") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_cubes_are_as_fine_as_the_mesh(spark):
     ratio = [meshes.first_edge(n, 12) ** 2 * n / (4 * np.pi) for n in (10**4, 10**6, 10**8)]  # cells in a square of the edge
     assert np.allclose(ratio, meshes.CELLS_A_CUBE) and meshes.first_edge(0, 12) == meshes.first_edge(10, 12) == 2 * np.sin(np.pi / 24)
