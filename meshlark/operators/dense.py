@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.pieces import pieces
 from . import places
 
 HOW = ("nearest", "bicubic", "mode")
@@ -193,7 +194,7 @@ def in_natural_order(fields: DataFrame, keys: list[str]) -> DataFrame:
     names = _described(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, len(keys) + len(names))):
             found = [field for _, field in _rows(batch, names, len(keys))]
             sizes = [pa.array([f.shape[k] for f in found], pa.int64()) for k in (1, 0)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *sizes, pa.array([f.reshape(-1) for f in found], pa.list_(pa.float64()))], [*keys, "nx", "ny", "natural"])

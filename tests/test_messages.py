@@ -125,3 +125,16 @@ def test_small_files_share_batches(spark):
     values = [b for b in grib._gathered(itertools.chain(messages.rows("a", one, True), messages.rows("b", one, True)), to_arrow_schema(StructType.fromDDL(grib.WITH_VALUES)))]
     assert len(values) == 1 and [len(v) for v in values[0].column("values").to_pylist()] == [91, 91]
     assert spread(files.coalesce(1), "path").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_long_arrays_are_handled_in_pieces():
+    import pyarrow as pa
+
+    from meshlark.sources.pieces import pieces
+
+    lists = [[1.0] * n for n in (3, 0, 4, 20, 1, 1)] + [None, [2.0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.float64()))], ["k", "values"])
+    got = [p.column("k").to_pylist() for p in pieces(batch, 1, 7)]
+    assert got == [[0, 1, 2], [3], [4, 5, 6, 7]]
+    assert [x for p in pieces(batch, 1, 7) for x in p.column("values").to_pylist()] == lists and list(pieces(batch.slice(0, 0), 1)) == []
+    assert [p.column("k").to_pylist() for p in pieces(batch.slice(2, 4), 1, 7)] == [[2], [3], [4, 5]]
